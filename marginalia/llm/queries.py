@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import terms
+from marginalia.llm import canonical, terms
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
 
+TYPED_FIELDS = ("map_model_organism", "map_primary_research_area", "map_experimental_approach")
+
+
+@CATALOGUE.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values with the item they mean."""
+    return canonical.map_values(table(spark, d, "parsed_features_real"), "record_id", TYPED_FIELDS, table(spark, d, "feature_domain"))
+
+
+@CATALOGUE.query("p2_unmatched")
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that mean no item, with the records that hold them."""
+    mapped = canonical.map_values(table(spark, d, "parsed_features_real"), "record_id", TYPED_FIELDS, table(spark, d, "feature_domain"), scores=True)
+    return mapped.filter("item_id = -1").groupBy("feature_name", "value").agg(F.count(F.lit(1)).alias("records"))
+
+
 TERM_FIELDS = ("map_research_goal", "map_disease_mention", "map_sample_size")
 
 _VALUES = " UNION ALL ".join(f"SELECT DISTINCT record_id, '{c}' AS feature_name, {c} AS value FROM parsed_features_real WHERE regexp_matches({c}, '[^\\s\\p{{Z}}]')" for c in TERM_FIELDS)
