@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import canonical, terms
+from marginalia.llm import canonical, terms, tokens
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -55,3 +55,16 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
 def p3_values(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct value with its records."""
     return terms.value_counts(terms.value_bitmaps(table(spark, d, "parsed_features_real"), "record_id", TERM_FIELDS))
+
+
+@CATALOGUE.query("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text", tokens.load_vocabulary(spark))
+
+
+@CATALOGUE.query("p7_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    vocabulary = tokens.load_vocabulary(spark)
+    return tokens.decode(tokens.encode(table(spark, d, "documents"), "doc_id", "text", vocabulary), "doc_id", vocabulary)
