@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import canonical, terms, tokens
+from marginalia.llm import canonical, terms, tokens, truncation
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -68,3 +68,19 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     """Every text, encoded and decoded again."""
     vocabulary = tokens.load_vocabulary(spark)
     return tokens.decode(tokens.encode(table(spark, d, "documents"), "doc_id", "text", vocabulary), "doc_id", vocabulary)
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.records({"instruct_pairs": (table(spark, d, "instruct_pairs"), "pair_id", "answer"), "generated_conditional": (table(spark, d, "generated_conditional"), "gen_id", "generated_text")})
+
+
+@CATALOGUE.query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Answers and generated texts that were cut off."""
+    return truncation.cut_rows(_answers(spark, d))
+
+
+@CATALOGUE.query("p5_shares")
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut rows per table and source."""
+    return truncation.cut_shares(_answers(spark, d))
