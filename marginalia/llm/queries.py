@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import canonical, terms, tokens, truncation
+from marginalia.llm import canonical, pairs, terms, tokens, truncation
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -84,3 +84,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of cut rows per table and source."""
     return truncation.cut_shares(_answers(spark, d))
+
+
+@CATALOGUE.query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs with the kind of defect."""
+    return pairs.defects(table(spark, d, "instruct_pairs"))
