@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import canonical, pairs, terms, tokens, truncation
+from marginalia.llm import canonical, overlap, pairs, terms, tokens, truncation
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -90,3 +90,19 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective pairs with the kind of defect."""
     return pairs.defects(table(spark, d, "instruct_pairs"))
+
+
+@CATALOGUE.query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-split overlaps as pairs, smaller key first."""
+    found = overlap.cross_split_pairs(table(spark, d, "documents"))
+    return found.select(F.least("t", "e").alias("doc_id_a"), F.greatest("t", "e").alias("doc_id_b"))
+
+
+@CATALOGUE.query("p4_report")
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records that overlap with the training split, and their pairs, per split and source."""
+    documents = table(spark, d, "documents")
+    found = overlap.cross_split_pairs(documents)
+    labelled = found.join(documents.select(F.col("doc_id").alias("e"), "split", "source"), "e")
+    return labelled.groupBy("split", "source").agg(F.count_distinct("e").alias("records"), F.count(F.lit(1)).alias("pairs"))
