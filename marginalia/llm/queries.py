@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import canonical, overlap, pairs, terms, tokens, truncation
+from marginalia.llm import canonical, overlap, packing, pairs, pieces, terms, tokens, truncation
 from marginalia.plans.catalogue import Catalogue, table
 
 CATALOGUE = Catalogue()
@@ -106,3 +106,30 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     found = overlap.cross_split_pairs(documents)
     labelled = found.join(documents.select(F.col("doc_id").alias("e"), "split", "source"), "e")
     return labelled.groupBy("split", "source").agg(F.count_distinct("e").alias("records"), F.count(F.lit(1)).alias("pairs"))
+
+
+CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    size = tokens.count_tokens(tokens.load_vocabulary(spark))
+    sized = table(spark, d, "documents").select("doc_id", size("text").alias("n_tokens"))
+    return packing.assign(sized, "doc_id", "n_tokens", CAPACITY)
+
+
+@CATALOGUE.query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container of every document, or of every piece of those above the capacity."""
+    return _packed(spark, d)
+
+
+@CATALOGUE.query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, items and used tokens, and the unused share."""
+    return packing.fill(_packed(spark, d)).withColumn("unused_share", 1 - F.col("used") / (F.col("containers") * CAPACITY))
+
+
+@CATALOGUE.query("p9_pieces")
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered pieces of every document above the limit."""
+    return pieces.split_long(table(spark, d, "documents"), "doc_id", "text", tokens.load_vocabulary(spark), LIMIT, OVERLAP)
