@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.terms import BLANK
+from marginalia.session import materialize
 
 #: Edits (insert, delete, replace, swap of neighbours) up to which a token is repaired by the join; neighbourhoods of
 #: so many deletions find all such pairs.
@@ -133,22 +134,23 @@ def repair_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 def rank_entries(values: DataFrame, domain: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, value, item_id, score) of the best entry of each distinct value that shares a repaired token with one."""
-    entries = vocabulary(domain, features)
+    entries = materialize(vocabulary(domain, features), "entries")
     parts = entries.select("feature", "item_id", "name_no", F.explode("tokens").alias("word")).withColumn("word", _singular(F.col("word")))
     parts = parts.groupBy("feature", "item_id", "name_no", "word").agg(F.count(F.lit(1)).alias("times"))
     # inverse document frequency over the names of the reference list
     total = entries.groupBy("feature").agg(F.count(F.lit(1)).alias("_names"))
     idf = parts.groupBy("feature", "word").agg(F.count(F.lit(1)).alias("_df")).join(total, "feature").withColumn("idf", F.log(1 + F.col("_names") / F.col("_df"))).select("feature", "word", "idf")
-    weights = parts.join(idf, ["feature", "word"])
+    weights = materialize(parts.join(idf, ["feature", "word"]), "weights")
     norm = weights.groupBy("feature", "item_id", "name_no").agg(F.sum(F.col("times") * F.col("idf")).alias("norm"))
-    folded = values.withColumn("tokens", _fold("value")).filter(F.size("tokens") > 0)
+    folded = materialize(values.withColumn("tokens", _fold("value")).filter(F.size("tokens") > 0), "folded")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SPAN)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - n + 1)), lambda i: F.array_join(F.slice("tokens", i, n), ""))))
     pieces = folded.select("feature", "value", F.explode("tokens").alias("token")).withColumn("token", _singular(F.col("token")))
     pieces = pieces.groupBy("feature", "value", "token").agg(F.count(F.lit(1)).alias("have"))
     runs = folded.select("feature", "value", F.explode(F.array_distinct(spans)).alias("token"))
     wholes = entries.select("feature", "item_id", F.col("whole").alias("word")).distinct()
     words = parts.select("feature", "word").union(wholes.select("feature", "word")).distinct()
-    repaired = repair_tokens(runs.select("feature", "token").union(pieces.select("feature", "token")).distinct(), words)
+    tokens = materialize(runs.select("feature", "token").union(pieces.select("feature", "token")).distinct(), "tokens")
+    repaired = materialize(repair_tokens(tokens, words), "repaired")
 
     # soft TF-IDF: each reference word takes its most similar token, and tokens left over count a little against the entry
     matched = pieces.join(repaired.join(weights, ["feature", "word"]), ["feature", "token"])
@@ -161,7 +163,7 @@ def rank_entries(values: DataFrame, domain: DataFrame, features: Sequence[str])
     # names written together or cut at other places: the same repair, over neighbouring tokens without their gaps
     run = runs.join(repaired.filter(F.length("token") > 1), ["feature", "token"]).join(wholes.filter(F.length("word") > 2), ["feature", "word"])
     scored = soft.select("feature", "value", "item_id", "score").unionByName(run.select("feature", "value", "item_id", F.col("sim").alias("score")))
-    best = scored.groupBy("feature", "value", "item_id").agg(F.max("score").alias("score"))
+    best = materialize(scored.groupBy("feature", "value", "item_id").agg(F.max("score").alias("score")), "scored")
     # entries of which the repair found only a part: letters of the whole name against the whole value
     unsure = best.groupBy("feature", "value").agg(F.max("score").alias("_top")).filter(F.col("_top") < SURE)
     near = best.filter(F.col("score") >= CANDIDATE).join(unsure, ["feature", "value"]).join(folded, ["feature", "value"])
@@ -186,7 +188,7 @@ def map_values(df: DataFrame, key: str, columns: Sequence[str], domain: DataFram
     """
     rows = distinct_values(df, key, columns, prefix)
     exact = domain.select(F.col("feature_name").alias("feature"), F.col("option_text").alias("value")).distinct()
-    typed = rows.join(exact, ["feature", "value"], "left_anti").distinct()
+    typed = materialize(rows.join(exact, ["feature", "value"], "left_anti").distinct(), "typed")
     values = typed.select("feature", "value").distinct()
     ranked = rank_entries(values, domain, [c.removeprefix(prefix) for c in columns])
     item = F.when(F.col("score") >= LEAST, F.col("item_id")).otherwise(F.lit(-1))
