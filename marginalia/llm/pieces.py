@@ -66,7 +66,7 @@ def mark_tokens(vocabulary: Broadcast, limit: int):
             out.append((letters, ends.tolist()))
         return pd.DataFrame(out, columns=["letters", "ends"])
 
-    return mark
+    return mark.asNondeterministic()  # else it is run once more for the filter on its result
 
 
 _TABLES: dict[int, np.ndarray] = {}
