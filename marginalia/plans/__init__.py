@@ -9,6 +9,7 @@ from marginalia.plans.catalogue import Catalogue
 
 def all_catalogues() -> Iterator[Catalogue]:
     """The catalogues of the core, in order of registration."""
-    from marginalia.plans import ingest_queries
+    from marginalia.plans import feature_queries, ingest_queries
 
     yield ingest_queries.CATALOGUE
+    yield feature_queries.CATALOGUE
