@@ -72,7 +72,7 @@ def newest_checkpoint(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).options(header=True, escape='"', encoding="UTF-8").csv(path)
+    df.write.mode(mode).options(header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
