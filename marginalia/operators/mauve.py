@@ -74,8 +74,8 @@ def divergence_curve(hist: DataFrame, points: int = 25, scale: float = 5.0) -> D
 
 
 def area(curve: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Trapezoid area under a curve of few points, sorted by ``x``."""
-    own = W.orderBy(x, y)
+    """Trapezoid area under a falling curve of few points, sorted by ``x``; among equal ones the higher comes first."""
+    own = W.orderBy(F.col(x), F.col(y).desc())
     step = (F.col(x) - F.lag(x).over(own)) * (F.col(y) + F.lag(y).over(own)) / 2
     return curve.select(step.alias("_a")).agg(F.sum("_a").alias("area"))
 

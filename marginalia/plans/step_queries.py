@@ -161,14 +161,14 @@ def e10(spark, d):
     return mauve.divergence_curve(mauve.histograms(label_bins(spark, d)))
 
 
-@query("W05_curve_area", f"WITH {_CURVE} SELECT sum((x - lx) * (y + ly) / 2) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y) AS lx, lag(y) OVER (ORDER BY x, y) AS ly FROM c)")
+@query("W05_curve_area", f"WITH {_CURVE} SELECT sum((x - lx) * (y + ly) / 2) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y DESC) AS lx, lag(y) OVER (ORDER BY x, y DESC) AS ly FROM c)")
 def w05(spark, d):
     """Trapezoid area under the curve."""
     return mauve.area(mauve.divergence_curve(mauve.histograms(label_bins(spark, d))))
 
 
-@query("E11_mauve_of_bins", f"""WITH {_CURVE}, a AS (SELECT sum((x - lx) * (y + ly) / 2) AS a FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y) AS lx, lag(y) OVER (ORDER BY x, y) AS ly FROM c)),
-b AS (SELECT sum((y - ly) * (x + lx) / 2) AS b FROM (SELECT x, y, lag(x) OVER (ORDER BY y, x) AS lx, lag(y) OVER (ORDER BY y, x) AS ly FROM c)),
+@query("E11_mauve_of_bins", f"""WITH {_CURVE}, a AS (SELECT sum((x - lx) * (y + ly) / 2) AS a FROM (SELECT x, y, lag(x) OVER (ORDER BY x, y DESC) AS lx, lag(y) OVER (ORDER BY x, y DESC) AS ly FROM c)),
+b AS (SELECT sum((y - ly) * (x + lx) / 2) AS b FROM (SELECT x, y, lag(x) OVER (ORDER BY y, x DESC) AS lx, lag(y) OVER (ORDER BY y, x DESC) AS ly FROM c)),
 f AS (SELECT 2 * sum(CASE WHEN p = 0 AND q = 0 THEN 0 WHEN p = 0 THEN q / 4 WHEN q = 0 THEN p / 4 WHEN abs(p - q) > 1e-8 THEN (p + q) / 4 + p * q * (ln(q) - ln(p)) / (2 * (p - q)) ELSE 0 END) AS f FROM h)
 SELECT (a + b) / 2 AS mauve, f AS frontier_integral FROM a, b, f""")
 def e11(spark, d):
