@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,12 +28,23 @@ _JSON_SPACE = r"[ \t\n\r]*+"
 _JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+){0,400}+"'
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, rf"^{SPACE}+", ""), rf"{SPACE}+\z", "")
+
+
 def unwrap(text: Column) -> Column:
     """``text`` without outer white space and without one surrounding Markdown fence (tag ``json`` or none)."""
-    trimmed = F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
-    body = F.regexp_replace(F.regexp_replace(trimmed, r"^```(?:json)?", ""), r"```\z", "")
-    fenced = trimmed.startswith("```") & trimmed.endswith("```") & (F.length(trimmed) >= 6)
-    return F.when(fenced, F.regexp_replace(body, rf"^{SPACE}+|{SPACE}+\z", "")).otherwise(trimmed)
+
+    def inner(t: Column) -> Column:
+        body = F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - 3), r"^```(?:json)?", "")
+        return F.when(t.startswith("```") & t.endswith("```") & (F.length(t) >= 6), _bare(body)).otherwise(t)
+
+    return let(_bare(text), inner)
 
 
 def flat_object_pattern(n: int) -> str:
@@ -56,17 +67,16 @@ def strict_load(raw: DataFrame, text: str, options: dict[str, list[str]], into:
     """Only the conforming rows of ``raw``, with the parsed record as struct column ``into``."""
     names = sorted(options)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = unwrap(F.col(text))
-    fits = body.rlike(flat_object_pattern(len(names)))
-    parsed = raw.withColumn(into, F.when(fits, F.from_json(body, schema)))
-    ok = F.col(into).isNotNull()
-    for n in names:
-        ok = ok & F.coalesce(F.col(into)[n].isin(options[n]), F.lit(False))
-    return parsed.filter(ok)
+    pattern = flat_object_pattern(len(names))
 
+    def checked(j: Column) -> Column:
+        ok = F.lit(True)
+        for n in names:
+            ok = ok & F.coalesce(j[n].isin(options[n]), F.lit(False))
+        return F.when(ok, j)
 
-class _Duplicate(Exception):
-    pass
+    parsed = let(unwrap(F.col(text)), lambda b: F.when(b.rlike(pattern), let(F.from_json(b, schema), checked)))
+    return raw.withColumn(into, parsed).filter(F.col(into).isNotNull())
 
 
 def _refuse(token: str) -> None:
