@@ -61,6 +61,30 @@ def edits(a: str, b: str, inside: bool = False) -> tuple[int, int, int]:
     return best if inside else (row[-1][0], 0, len(a))
 
 
+def distance(a: str, b: str, most: int) -> int:
+    """Edits between two tokens, a swap of neighbours counting once; ``most`` + 1 as soon as they exceed ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        two, before, row = before, row, [i]
+        left = i
+        for j, y in enumerate(b, 1):
+            cost = before[j - 1] if x == y else before[j - 1] + 1
+            if before[j] < cost:
+                cost = before[j] + 1
+            if left < cost:
+                cost = left + 1
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and two[j - 2] < cost:
+                cost = two[j - 2] + 1
+            row.append(cost)
+            left = cost
+        if min(row) > most and (not before or min(before) > most):
+            return most + 1
+    return min(row[-1], most + 1)
+
+
 def closeness(tokens: list[str], name: list[str]) -> float:
     """Share of a name's letters that return in a value, whatever the order and the gaps between its words.
 
@@ -98,8 +122,9 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
     def one(x: str, y: str) -> float | None:
         n = max(len(x), len(y))
-        d = 0 if x == y else edits(x, y)[0]
-        return 1 - d / (n + 2) if d <= (0 if n <= 2 else 1 if n <= 5 else REACH) else None
+        most = 0 if n <= 2 else 1 if n <= 5 else REACH
+        d = 0 if x == y else distance(x, y, most)
+        return 1 - d / (n + 2) if d <= most else None
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
@@ -127,6 +152,8 @@ def repair_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     left = near.select("feature", "token", F.explode(neighbours(F.col("token"))).alias("_n"))
     right = words.select("feature", "word", F.explode(neighbours(F.col("word"))).alias("_n"))
     pairs = left.join(right, ["feature", "_n"]).select("feature", "token", "word").distinct()
+    # few bytes, much work: as many tasks as the session shuffles into, which adaptive execution would merge
+    pairs = pairs.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     repaired = pairs.withColumn("sim", _similarity(F.col("token"), F.col("word"))).filter("sim is not null")
     letters = tokens.filter(F.length("token") == 1).join(words.filter(F.length("word") > 3).withColumn("token", F.substring("word", 1, 1)), ["feature", "token"])
     return repaired.unionByName(letters.select("feature", "token", "word", F.lit(0.8).alias("sim")))
