@@ -119,6 +119,7 @@ def test_hot_chunks_lose_no_pair(spark, monkeypatch):
     plain = {tuple(r) for r in overlap.cross_split_pairs(df).collect()}
     monkeypatch.setattr(overlap, "MEETINGS", 3)
     assert {tuple(r) for r in overlap.cross_split_pairs(df).collect()} == plain and len(plain) >= 10
+    assert {tuple(r) for r in overlap.cross_split_pairs(df.coalesce(1), busy=3).collect()} == plain
 
 
 def test_copies_collapse(spark):
