@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IGNORED = -100
+#: Pattern of the stand-in tokenizer.
+PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\t-\r ]"
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def hashed_words(texts: pd.Series) -> pd.Series:
-    """Stand-in tokenizer: words and signs as hashed ids from 10 to 32,009; null gives an empty list."""
-    import re
+    """Stand-in tokenizer: runs of letters and digits, and single signs, as hashed ids from 10 to 32,009; null gives an empty list."""
     import zlib
 
-    return texts.map(lambda t: [10 + zlib.crc32(w.encode()) % 32_000 for w in re.findall(r"\w+|[^\w\s]", t or "")])
+    import regex
+
+    find = regex.compile(PATTERN).findall
+    return texts.map(lambda t: [10 + zlib.crc32(w.encode()) % 32_000 for w in find(t or "")])
 
 
 def training_rows(df: DataFrame, instruction: str, answer: str, tokenizer=hashed_words, most_instruction: int = 300, most_answer: int = 512, end: int = 2) -> DataFrame:

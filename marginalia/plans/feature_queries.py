@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from marginalia.operators import divergence, encoding, marginals, sampling
 from marginalia.operators.ingest import domain_options
 from marginalia.plans.catalogue import Catalogue, table
-from marginalia.plans.ingest_queries import _split
+from marginalia.plans.ingest_queries import _split, p1_loaded_sql
+from marginalia.session import materialize
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -75,10 +76,20 @@ def e04_mean(spark, d):
     return divergence.mean_pair_divergence(*even_odd(spark, d), FEATURES)
 
 
-@query("E05_divergence_report")
+def _report_sql() -> str:
+    pairs = []
+    for a, b in combinations(FEATURES, 2):
+        pairs.append(f"""SELECT '{a}*{b}' AS metric, coalesce(n1, 0) AS n_real, coalesce(n2, 0) AS n_synth, sum(coalesce(n1, 0)) OVER () AS all_real, sum(coalesce(n2, 0)) OVER () AS all_synth, sum(coalesce(n1, 0)) OVER () AS have_real, sum(coalesce(n2, 0)) OVER () AS have_synth FROM
+  (SELECT {a} AS x, {b} AS y, count(*) AS n1 FROM feats GROUP BY 1, 2) r FULL JOIN
+  (SELECT coalesce({a}, 'NA (added)') AS x, coalesce({b}, 'NA (added)') AS y, count(*) AS n2 FROM made GROUP BY 1, 2) s ON r.x IS NOT DISTINCT FROM s.x AND r.y IS NOT DISTINCT FROM s.y""")
+    two = f"SELECT avg(tvd) AS tvd, avg(jsd) AS jsd FROM (SELECT metric, {_DISTANCES} FROM ({' UNION ALL '.join(pairs)}) GROUP BY metric)"
+    return f"WITH feats AS MATERIALIZED {REAL}, made AS MATERIALIZED ({p1_loaded_sql()}), one AS ({_one_way_sql(FEATURES, 'feats', 'made')}) SELECT * FROM one UNION ALL SELECT '2way', tvd, jsd, NULL, NULL FROM ({two})"
+
+
+@query("E05_divergence_report", _report_sql())
 def e05(spark, d):
     """Real features against the loaded synthetic records."""
-    return divergence.divergence_report(real_features(spark, d), _split(spark, d)[0], FEATURES)
+    return divergence.divergence_report(real_features(spark, d), materialize(_split(spark, d)[0], "loaded"), FEATURES)
 
 
 @query("E01_tvd_by_language", """WITH c AS (SELECT lang AS v, count(*) FILTER (doc_id % 2 = 0) * 1e0 / (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS p, count(*) FILTER (doc_id % 2 <> 0) * 1e0 / (SELECT count(*) FROM documents WHERE doc_id % 2 <> 0) AS q FROM documents GROUP BY 1)

@@ -37,7 +37,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 _COLUMNS = ", ".join(f"b ->> '$.{n}' AS {n}" for n in ("disease_mention", "dominant_data_type", "experimental_approach", "model_organism", "primary_research_area", "research_focus_scale", "research_goal", "sample_size"))
 
 
-@CATALOGUE.query("p1_loaded", _BODY + f"SELECT row_id, {_COLUMNS} FROM reasons WHERE reason IS NULL")
+def p1_loaded_sql() -> str:
+    return _BODY + f"SELECT row_id, {_COLUMNS} FROM reasons WHERE reason IS NULL"
+
+
+@CATALOGUE.query("p1_loaded", p1_loaded_sql())
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     """Records that load, as eight feature columns."""
     return _split(spark, d)[0]

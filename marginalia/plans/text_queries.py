@@ -244,10 +244,10 @@ def x04(spark, d):
     return tokenised.training_rows(table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]).select("pair_id", "instruction", "answer"), "instruction", "answer").drop("instruction", "answer")
 
 
-@query("A12_counted_tokens", r"SELECT pair_id, least(512, len(regexp_extract_all(coalesce(answer, ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'))) + 1 AS counted FROM (SELECT DISTINCT pair_id, answer FROM instruct_pairs) WHERE regexp_full_match(coalesce(answer, ''), '[\x00-\x7f]*')")
+@query("A12_counted_tokens", rf"SELECT pair_id, least(512, len(regexp_extract_all(coalesce(answer, ''), '{tokenised.PATTERN}'))) + 1 AS counted FROM (SELECT DISTINCT pair_id, answer FROM instruct_pairs)")
 def a12(spark, d):
-    """Labels that count, of answers in plain letters."""
-    rows = tokenised.training_rows(table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]).filter(F.coalesce("answer", F.lit("")).rlike(r"^[\x00-\x7f]*\z")), "instruction", "answer")
+    """Labels that count, of each answer."""
+    rows = tokenised.training_rows(table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]), "instruction", "answer")
     return rows.select("pair_id", F.size(F.filter("labels", lambda x: x != tokenised.IGNORED)).cast("bigint").alias("counted"))
 
 
@@ -340,11 +340,10 @@ def s11(spark, d):
     return files.constant_prompts(spark, "Write a text.", 1000)
 
 
-@query("S12_prompt_tokens", r"SELECT pair_id, least(256, len(regexp_extract_all(instruction, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'))) AS n FROM (SELECT DISTINCT pair_id, instruction FROM instruct_pairs) WHERE regexp_full_match(instruction, '[\x00-\x7f]*')")
+@query("S12_prompt_tokens", rf"SELECT pair_id, least(256, len(regexp_extract_all(instruction, '{tokenised.PATTERN}'))) AS n FROM (SELECT DISTINCT pair_id, instruction FROM instruct_pairs)")
 def s12(spark, d):
     """Prompts as token lists cut to a limit."""
-    rows = table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]).filter(F.col("instruction").rlike(r"^[\x00-\x7f]*\z"))
-    return tokenised.prompt_rows(rows, "instruction").select("pair_id", F.size("input_ids").cast("bigint").alias("n"))
+    return tokenised.prompt_rows(table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]), "instruction").select("pair_id", F.size("input_ids").cast("bigint").alias("n"))
 
 
 @query("K06_resumed_append", "SELECT count(*) AS rows, count(DISTINCT gen_id) AS keys FROM (SELECT DISTINCT gen_id FROM generated_conditional)")
