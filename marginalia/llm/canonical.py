@@ -25,8 +25,9 @@ REACH = 2
 #: Parameters of the decision: least score of a match; share of a stray token's weight that counts against it; score
 #: from which a pair is a candidate for the closer look, and up to which a value needs one.
 LEAST, STRAY, CANDIDATE, SURE = 0.64, 0.12, 0.2, 0.85
-#: Tokens that may have been written together, at most.
-SPAN = 6
+#: Tokens that may have been written together, at most; letters at an end of a long token that bring it to a name's word,
+#: and the score such a pair needs.
+SPAN, GLUE, GLUED = 6, 5, 0.8
 
 _RUN = re.compile(r"[^\W_]+")
 
@@ -196,6 +197,15 @@ def rank_entries(values: DataFrame, domain: DataFrame, features: Sequence[str])
     near = best.filter(F.col("score") >= CANDIDATE).join(unsure, ["feature", "value"]).join(folded, ["feature", "value"])
     close = near.join(entries.select("feature", "item_id", F.col("tokens").alias("_name")), ["feature", "item_id"])
     close = close.select("feature", "value", "item_id", _closeness("tokens", "_name").alias("score"))
+    # names glued to other words: long tokens that begin or end as a word of a name does, by the same closer look
+    ends = lambda c: F.explode(F.array(F.concat(F.lit("^"), F.left(c, F.lit(GLUE))), F.concat(F.lit("$"), F.right(c, F.lit(GLUE)))))
+    sure = best.groupBy("feature", "value").agg(F.max("score").alias("_top")).filter(F.col("_top") >= SURE)
+    long = pieces.filter(F.length("token") >= 2 * GLUE - 2).select("feature", "value", ends(F.col("token")).alias("_e")).join(sure, ["feature", "value"], "left_anti")
+    named = parts.filter(F.length("word") >= GLUE).select("feature", "item_id", ends(F.col("word")).alias("_e"))
+    met = long.join(named, ["feature", "_e"]).select("feature", "value", "item_id").distinct().join(folded, ["feature", "value"])
+    glued = met.join(entries.select("feature", "item_id", F.col("tokens").alias("_name")), ["feature", "item_id"])
+    glued = glued.select("feature", "value", "item_id", _closeness("tokens", "_name").alias("score")).filter(F.col("score") >= GLUED)
+    close = close.unionByName(glued)
     top = F.struct("score", -F.col("item_id"))
     return best.unionByName(close).groupBy("feature", "value").agg(F.max_by("item_id", top).alias("item_id"), F.max("score").alias("score"))
 

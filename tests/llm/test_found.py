@@ -25,7 +25,7 @@ def domain(spark):
 
 
 def test_values_map_to_the_item_they_mean(spark, domain):
-    meant = {"sea urchin": 1, "Sea urchyn": 1, "eSa urchin": 1, "urchin, Sea": 1, "Seaurchin": 1, "S. purpuratus": 1, "approx. House mouse": 2, "Mus musbulus": 2, "HOUSE MOUSES": 2, "Máize": 4, "Mayze": 4, "oak gall wasp": -1, "vampire squid": -1, "n/a": -1, "?": -1, "Gallus gallus": 3, "x" * 5000: -1}
+    meant = {"sea urchin": 1, "Sea urchyn": 1, "eSa urchin": 1, "urchin, Sea": 1, "Seaurchin": 1, "S. purpuratus": 1, "approx. House mouse": 2, "Mus musbulus": 2, "HOUSE MOUSES": 2, "Máize": 4, "Mayze": 4, "oak gall wasp": -1, "vampire squid": -1, "n/a": -1, "?": -1, "Gallus gallus": 3, "Chickenembryoonly": 3, "studyofHousemouse": 2, "x" * 5000: -1}
     data = [(i, v, "clash") for i, v in enumerate(meant)] * 2 + [(100, "Sea urchin", ""), (101, None, ""), (102, " \t", ""), (103, "", "")]
     df = spark.createDataFrame(data, "record_id long, map_organism string, feature string")
     got = {r.record_id: r.item_id for r in canonical.map_values(df, "record_id", ["map_organism"], domain).collect()}
