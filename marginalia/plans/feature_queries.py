@@ -11,7 +11,7 @@ from marginalia.operators import divergence, encoding, marginals, sampling
 from marginalia.operators.ingest import domain_options
 from marginalia.plans.catalogue import Catalogue, table
 from marginalia.plans.ingest_queries import _split, p1_loaded_sql
-from marginalia.session import materialize
+from marginalia.session import bounded_rows, materialize
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -112,7 +112,7 @@ _OPTIONS = "o AS (SELECT feature_name, last(option_text ORDER BY option_idx) AS
 @query("E15_last_option_report", f"WITH {_OPTIONS}, r AS ({' UNION ALL '.join(f'''SELECT '{f}' AS feature, count(*) AS rows, count(*) FILTER ({f} = (SELECT last FROM o WHERE feature_name = '{f}')) AS exact, count(*) FILTER (regexp_matches(lower({f}), 'other|not applicable')) AS named FROM {REAL}''' for f in FEATURES)}) SELECT feature, rows, CASE WHEN exact > 0 THEN exact ELSE named END AS hits, 100e0 * (CASE WHEN exact > 0 THEN exact ELSE named END) / rows AS percent FROM r")
 def e15(spark, d):
     """Rows that took the last option of each feature."""
-    rows = table(spark, d, "feature_domain").orderBy("feature_name", "option_idx").limit(20_001).collect()
+    rows = sorted(bounded_rows(table(spark, d, "feature_domain").select("feature_name", "option_idx", "option_text"), 20_000, "feature domain"))
     options: dict[str, list[str]] = {}
     for r in rows:
         options.setdefault(r.feature_name, []).append(r.option_text)

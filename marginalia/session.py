@@ -41,14 +41,28 @@ def work_dir(spark: SparkSession) -> str:
     return made
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that outlives executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables this driver wrote by ``materialize``, once no result that reads them is needed; how many."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect metadata of a stated bound; more rows than that are an error, not a cut."""
     rows = df.limit(max_rows + 1).collect()
