@@ -192,11 +192,11 @@ def f18(spark, d):
     return spark.createDataFrame([(n, r.template) for n, r in DATASETS.items()], "name string, template string")
 
 
-@query("F27_array_padding", "SELECT l_orderkey, list_concat(list_slice(n, 1, 3), list_transform(range(greatest(0, 5 - least(3, len(n)))), lambda x: 0)) AS padded FROM (SELECT l_orderkey, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1)")
+@query("F27_array_padding", "SELECT l_orderkey, array_to_string(list_concat(list_slice(n, 1, 3), list_transform(range(greatest(0, 5 - least(3, len(n)))), lambda x: 0)), ',') AS padded FROM (SELECT l_orderkey, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1)")
 def f27(spark, d):
     """Arrays cut and padded."""
     by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.slice(F.array_sort(F.collect_list(F.col("l_linenumber").cast("bigint"))), 1, 3).alias("n"))
-    return by.select("l_orderkey", F.concat("n", F.array_repeat(F.lit(0).cast("bigint"), 5 - F.size("n"))).alias("padded"))
+    return by.select("l_orderkey", F.array_join(F.concat("n", F.array_repeat(F.lit(0).cast("bigint"), 5 - F.size("n"))).cast("array<string>"), ",").alias("padded"))
 
 
 @query("D04_bin_middles", "SELECT unnest([15e0, 25e0, 35e0]) AS middle, unnest([0, 1, 2])::INT AS code")

@@ -362,10 +362,10 @@ def k02(spark, d):
     return table(spark, d, "domain_labels").agg(F.avg("quality").alias("quality"), F.avg("flagged").alias("flagged")).unpivot([], ["quality", "flagged"], "metric", "value")
 
 
-@query("P25_rows_to_lists", "SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS numbers FROM lineitem GROUP BY 1")
+@query("P25_rows_to_lists", "SELECT l_orderkey, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS numbers FROM lineitem GROUP BY 1")
 def p25(spark, d):
     """Rows of a batch as lists."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("numbers"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("l_linenumber")).cast("array<string>"), ",").alias("numbers"))
 
 
 @query("O05_argmax", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS top FROM embeddings")
