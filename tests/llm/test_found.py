@@ -110,6 +110,19 @@ def test_overlaps_equal_brute_force(spark):
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_scattered_edits_lose_few_pairs(spark):
+    rnd = random.Random(8)
+    data = []
+    for i in range(120):
+        ws = [f"w{rnd.randint(0, 10**6)}" for _ in range((80, 200, 500, 1000)[i % 4])]
+        other = list(ws)
+        for k in rnd.sample(range(len(ws)), int((0.15, 0.18, 0.2)[i % 3] * len(ws))):
+            other[k] = f"edit{k}"
+        data += [(2 * i, " ".join(ws), None, "train"), (2 * i + 1, " ".join(other), None, "test")]
+    df = spark.createDataFrame(data, "doc_id long, text string, title string, split string")
+    assert {(r.t, r.e) for r in overlap.cross_split_pairs(df).collect()} == {(2 * i, 2 * i + 1) for i in range(120)}
+
+
 def test_hot_chunks_lose_no_pair(spark, monkeypatch):
     rnd = random.Random(2)
     notice = " ".join(f"notice{i}" for i in range(30))
