@@ -131,6 +131,12 @@ def a02(spark, d):
     return divergence._pair_entries(real_features(spark, d), "real", FEATURES[:4]).groupBy("metric", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("A02_all_joint_counts", " UNION ALL ".join(f"SELECT '{a}*{b}' AS metric, {a} AS x, {b} AS y, count(*) AS n FROM {REAL} GROUP BY 2, 3" for a, b in combinations(FEATURES, 2)))
+def a02_all(spark, d):
+    """Joint counts of all pairs of the eight features, nulls kept, in one scan."""
+    return divergence._pair_entries(real_features(spark, d), "real", FEATURES).groupBy("metric", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("A08_mean_over_pairs", "SELECT avg(n) AS mean FROM (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus)")
 def a08(spark, d):
     """A plain mean over groups."""

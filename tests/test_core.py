@@ -193,6 +193,23 @@ def test_noise_sources():
     assert aim.choose([0.0, 50.0, 1.0], 10.0, 1.0, aim.SeededNoise(0)) == 1
 
 
+def test_joint_counts_of_all_pairs(spark, tmp_path):
+    import __spark_entry__
+    from marginalia.plans.feature_queries import FEATURES
+
+    values = [(i, *[None if (i + k) % 5 == 0 else f"v{(i * k) % 3}" for k in range(8)]) for i in range(30)]
+    columns = ["record_id long"] + [f"map_{f} string" for f in FEATURES]
+    spark.createDataFrame(values, ", ".join(columns)).write.parquet(f"{tmp_path}/parsed_features_real.parquet")
+    got = __spark_entry__.queries()["A02_all_joint_counts"](spark, str(tmp_path)).collect()
+    want = {}
+    for row in values:
+        for i in range(8):
+            for j in range(i + 1, 8):
+                cell = (f"{FEATURES[i]}*{FEATURES[j]}", row[1 + i], row[1 + j])
+                want[cell] = want.get(cell, 0) + 1
+    assert {(r.metric, r.x, r.y): r.n for r in got} == want and len({r.metric for r in got}) == 28
+
+
 # mauve
 
 
