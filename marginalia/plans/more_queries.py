@@ -293,7 +293,8 @@ def e02(spark, d):
 def e08(spark, d):
     """Bins of embeddings after PCA and k-means."""
     e = table(spark, d, "embeddings")
-    bins = mauve.quantise(mauve.joint(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 <> 0")), 5, redo=2, iterations=20)
+    real, synthetic = e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 <> 0")
+    bins = mauve.quantise(mauve.joint(real, synthetic), mauve.buckets(real.count(), synthetic.count()))
     return bins.groupBy("side").agg(F.count_distinct("bin").alias("bins"), F.count(F.lit(1)).alias("rows"))
 
 

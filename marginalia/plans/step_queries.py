@@ -180,7 +180,7 @@ def e11(spark, d):
 def e06(spark, d):
     """MAUVE of even against odd embeddings, with PCA and k-means."""
     e = table(spark, d, "embeddings")
-    return mauve.mauve(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 <> 0"), clusters=10, redo=2, iterations=50)
+    return mauve.mauve(e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 <> 0"))
 
 
 @query("W02_explained_components", "WITH s AS (SELECT label AS i, count(*) * 1e0 / (SELECT count(*) FROM embeddings) AS share FROM embeddings GROUP BY 1), c AS (SELECT i, sum(share) OVER (ORDER BY i) AS total FROM s) SELECT min(i) FILTER (total >= 0.9) AS first FROM c")

@@ -230,6 +230,22 @@ def test_mauve_end_to_end(spark):
     assert near > 0.9 and far < 0.1
 
 
+@pytest.mark.parametrize("name", ["E06_mauve", "E08_kept_components"])
+def test_mauve_queries_keep_the_bucket_rule(spark, tmp_path, monkeypatch, name):
+    import __spark_entry__
+
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = []
+
+    def quantise(df, clusters, **options):
+        asked.append((clusters, options))
+        return df.select("side", F.lit(0).alias("bin"))
+
+    monkeypatch.setattr(mauve, "quantise", quantise)
+    __spark_entry__.queries()[name](spark, str(tmp_path)).count()
+    assert asked == [(15, {})]
+
+
 # texts
 
 
