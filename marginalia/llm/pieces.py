@@ -120,8 +120,14 @@ def split_long(df: DataFrame, key: str, text: str, vocabulary: Broadcast, limit:
         return F.when(s > 0, F.length(tail) - place).otherwise(0)
 
     cut = cores.withColumn("_b", bounds(F.col("_n")))
-    reach = F.transform("_b", lambda b, i: F.struct((b["s"] - F.when(i > 0, back(b["s"], F.element_at("_b", F.greatest(i, F.lit(1)))["s"] + 1)).otherwise(0)).alias("s"), b["s"].alias("c"), b["e"].alias("e")))
-    each = cut.withColumn("_r", reach).select("_key", "_text", "_l", "_e", F.posexplode("_r").alias("piece", "_p")).select("_key", "_text", "_l", "_e", "piece", "_p.*")
-    begin = F.when(F.col("s") > 0, F.element_at("_e", F.greatest(F.col("s"), F.lit(1)))).otherwise(0)
-    until = F.element_at("_e", F.col("e"))
-    return each.select(F.col("_key").alias(key), "piece", F.col("s").alias("start"), F.col("e").alias("end"), (F.col("c") - F.col("s")).alias("overlap"), F.substring("_text", begin + 1, until - begin).alias("text"))
+
+    def piece(b: Column, i: Column) -> Column:
+        s = b["s"] - F.when(i > 0, back(b["s"], F.element_at("_b", F.greatest(i, F.lit(1)))["s"] + 1)).otherwise(0)
+        begin = F.when(s > 0, F.element_at("_e", F.greatest(s, F.lit(1)))).otherwise(0)
+        body = F.substring("_text", begin + 1, F.element_at("_e", b["e"]) - begin)
+        return F.struct(s.alias("s"), b["s"].alias("c"), b["e"].alias("e"), body.alias("t"))
+
+    # outer: every row has pieces, and the filter that the plain form implies would be pushed down and cut all texts again
+    each = cut.select("_key", F.posexplode_outer(F.transform("_b", piece)).alias("piece", "_p"))
+    s, c, e = (F.col("_p")[name] for name in "sce")
+    return each.select(F.col("_key").alias(key), "piece", s.alias("start"), e.alias("end"), (c - s).alias("overlap"), F.col("_p")["t"].alias("text"))

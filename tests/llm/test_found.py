@@ -284,3 +284,9 @@ def test_pieces(spark, vocabulary):
         assert text.startswith(mine[0].text) and text.endswith(mine[-1].text) and mine[-1].end == len(encode(text))
     assert all(r.text.rstrip().endswith(".") for r in out if r.doc_id in (0, 1))
     assert pieces.split_long(df.limit(0), "doc_id", "text", vocabulary, 120, 16).count() == 0
+
+
+def test_texts_are_cut_once(spark, vocabulary):
+    df = spark.createDataFrame([(1, LONG[0])], "doc_id long, text string")
+    plan = pieces.split_long(df, "doc_id", "text", vocabulary, 120, 16)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
