@@ -102,10 +102,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @CATALOGUE.query("p4_report")
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation records that overlap with the training split, and their pairs, per split and source."""
-    documents = table(spark, d, "documents")
-    found = overlap.cross_split_pairs(documents)
-    labelled = found.join(documents.select(F.col("doc_id").alias("e"), "split", "source"), "e")
-    return labelled.groupBy("split", "source").agg(F.count_distinct("e").alias("records"), F.count(F.lit(1)).alias("pairs"))
+    return overlap.cross_split_counts(table(spark, d, "documents"))
 
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
