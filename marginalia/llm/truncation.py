@@ -27,15 +27,28 @@ LIMIT_SHARE, LIMIT_ROWS = 0.01, 3
 #: What transfers and viewers put after a cut.
 MARKS = ("...", " ...", "…", " …", " [", "�", " �", " \\u00", "\n", " ", "  ")
 _MARK = re.compile(r"(?:\s|\.\.\.|…|\[|�|\\u?[0-9a-fA-F]{0,3})+\Z")
-_END = re.compile(r"[.!?。！？][\"'”’»)\]*`_]*\Z|[)\]|}][\"'*`_]*\Z")
+_ESCAPE = re.compile(r"\\u?[0-9a-fA-F]{0,3}\Z")
 _SENTENCE = re.compile(r"[.!?][\"'”’)\]]*\s|[。！？]")
 _OPEN, _CLOSE = "([{“", ")]}”"
 
 
+def _closed(text: str) -> bool:
+    """Whether ``text`` ends with a sentence's mark and closing marks, or with a closing bracket."""
+    return text.rstrip("\"'”’»)]*`_").endswith((".", "!", "?", "。", "！", "？")) or text.rstrip("\"'*`_").endswith((")", "]", "|", "}"))
+
+
+def _unmarked(text: str) -> str:
+    """``text`` (without outer white space) without what was put after a cut."""
+    if text.endswith(("...", "…", "[", "�")) or _ESCAPE.search(text[-5:]):
+        return _MARK.sub("", text)
+    return text
+
+
 def bare(text: str) -> str:
     """``text`` without outer white space and without fences, quotes or emphasis that surround all of it."""
     t = text.strip()
-    t = re.sub(r"\A```\w*\n|\n?```\Z", "", t).strip()
+    if "```" in t:
+        t = re.sub(r"\A```\w*\n|\n?```\Z", "", t).strip()
     for mark in ("**", '"', "*"):
         if len(t) > 2 * len(mark) and t.startswith(mark) and t.endswith(mark):
             t = t[len(mark) : -len(mark)].strip()
@@ -49,13 +62,13 @@ def _shape(word: str) -> str:
 def features(text: str, at_limit: float) -> list[str]:
     """Named features of one text; ``at_limit`` is its length as a share of the source's limit, 0 without one."""
     t = bare(text)
-    core = _MARK.sub("", t)
+    core = _unmarked(t)
     marked = core != t and not (t.endswith("...") and not core)
     lines = core.split("\n")
     last = lines[-1].strip()
     words = core.split()
     tail = words[-1] if words else ""
-    ends = bool(_END.search(core))
+    ends = _closed(core)
     opened = [sum(core.count(a) - core.count(b) for a, b in zip(_OPEN, _CLOSE)) > 0, core.count('"') % 2 == 1]
     sentences = len(_SENTENCE.findall(core))
     items = re.split(r"[,;]\s+", last)
@@ -94,31 +107,33 @@ def artificial(text: str, seed: int, limit: int | None) -> tuple[str, float] | N
         return None
     at = int(rng.integers(min(8, len(body) - 2), len(body) - 1))
     cut = body[:at] if rng.random() < 0.75 else body[: max(body.rfind(" ", 0, at), 4)]
-    if _END.search(cut.rstrip()) and not cut.startswith("{"):
+    if _closed(cut.rstrip()) and not cut.startswith("{"):
         cut = cut.rstrip().rstrip(".!?。")[:-1]
     mark = MARKS[int(rng.integers(len(MARKS)))] if rng.random() < 0.4 else ""
     at_limit = 1.0 if limit and rng.random() < 0.5 else float(rng.random() * 0.95) if limit else 0.0
     return cut + mark, at_limit
 
 
-def fit(texts: list[tuple[str, int | None, int]], epochs: int = 12, rate: float = 0.3) -> np.ndarray:
-    """Weights from (text, limit of its source, seed) rows: those that look intact, and cuts of those that can be cut."""
-    rows, labels = [], []
-    for text, limit, seed in texts:
-        core = bare(text)
-        if not any(c.isalnum() for c in core):
-            continue
-        prose = bool(_SENTENCE.search(core + " "))
-        closed = bool(_END.search(core)) and not core.endswith(("...", "…", "[", "�"))
-        last = core.split("\n")[-1]
-        plain = not prose and "{" not in core and (len(core.split()) <= 3 or len(re.split(r"[,;]\s+", core)) >= 4)
-        line = "\n" in core and len(last) <= 70
-        if closed or plain or line:
-            rows.append(_row(text, len(text) / limit if limit else 0.0))
-            labels.append(0.0)
-        if closed and (prose or core.startswith("{")) and (made := artificial(text, seed, limit)):
-            rows.append(_row(*made))
-            labels.append(1.0)
+def examples(text: str, limit: int | None, seed: int) -> list[tuple[np.ndarray, float]]:
+    """(features, label) of a text if it looks intact (0), and of a cut of it if it can be cut (1)."""
+    core = bare(text)
+    if not any(c.isalnum() for c in core):
+        return []
+    prose = bool(_SENTENCE.search(core + " "))
+    closed = _closed(core) and not core.endswith(("...", "…", "[", "�"))
+    last = core.split("\n")[-1]
+    plain = not prose and "{" not in core and (len(core.split()) <= 3 or len(re.split(r"[,;]\s+", core)) >= 4)
+    line = "\n" in core and len(last) <= 70
+    out = []
+    if closed or plain or line:
+        out.append((_row(text, len(text) / limit if limit else 0.0), 0.0))
+    if closed and (prose or core.startswith("{")) and (made := artificial(text, seed, limit)):
+        out.append((_row(*made), 1.0))
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: list[float], epochs: int = 12, rate: float = 0.3) -> np.ndarray:
+    """Weights of a logistic regression on rows of hashed features."""
     weights = np.zeros(DIMENSIONS)
     if not rows:
         return weights
@@ -152,14 +167,24 @@ def field_limits(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame, limits: dict) -> np.ndarray:
-    """Weights from the rows with the lowest hashes, about ``SAMPLE_ROWS`` of them at any size of the input."""
+    """Weights from the rows with the lowest hashes, about ``SAMPLE_ROWS`` of them at any size of the input.
+
+    Texts become features where they lie; only the features of the sample come to the driver. Rows of one key count once.
+    """
     mark = F.pmod(F.xxhash64("src_table", "row_id"), F.lit(1_000_000_000))
-    filled = rows.filter(F.col("text").isNotNull() & (F.length("text") < 200_000))
-    n = filled.count()
-    share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    picked = filled.withColumn("_mark", mark).filter(F.col("_mark") < int(share * 1_000_000_000)).limit(2 * SAMPLE_ROWS)
-    sample = sorted({(r._mark, r.text, limits.get((r.src_table, r.source)) or 0) for r in bounded_rows(picked, 2 * SAMPLE_ROWS, "training sample")})
-    return fit([(text, limit or None, seed) for seed, text, limit in sample])
+    filled = rows.filter(F.col("text").isNotNull())
+    share = min(1.0, SAMPLE_ROWS / max(filled.count(), 1))
+    known = rows.sparkSession.sparkContext.broadcast(limits)  # at most MAX_SOURCES limits
+
+    @F.pandas_udf("array<struct<x: array<int>, y: double>>")
+    def made(table: pd.Series, source: pd.Series, text: pd.Series, seed: pd.Series) -> pd.Series:
+        each = zip(table, source, text, seed)
+        return pd.Series([[{"x": x, "y": y} for x, y in examples(c, known.value.get((t, s)) or None, int(n))] for t, s, c, n in each], dtype=object)
+
+    picked = filled.withColumn("_mark", mark).filter(F.col("_mark") < int(share * 1_000_000_000)).groupBy("_mark").agg(F.min(F.struct("src_table", "source", "text")).alias("_s"))
+    coded = picked.select("_mark", made("_s.src_table", "_s.source", "_s.text", "_mark").alias("_e"))
+    sample = sorted(bounded_rows(coded, 2 * SAMPLE_ROWS, "training sample"))
+    return fit([np.array(e.x, np.int32) for r in sample for e in r._e], [e.y for r in sample for e in r._e])
 
 
 def score(rows: DataFrame, threshold: float = 0.5) -> DataFrame:

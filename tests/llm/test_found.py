@@ -208,6 +208,33 @@ def test_defects(spark, answers):
     assert pairs.defects(df.limit(0)).count() == 0
 
 
+def test_templates_reveal_refusals_in_any_words(spark, answers):
+    good = [(i, ("qa", "note", "title", "mix")[i % 4], s, f"{('Describe', 'Sum up', 'Explain', 'Tell')[i % 4]} finding {i} in a few sentences.", t) for i, s, t, cut in answers if not cut and i < 600]
+    short = "We are not in a position to go further with your wish today."
+    long = " ".join(["Our team has no way of going along with such a wish at this time.", "Kindly look for another place that may take it up instead."] * 7)
+    other = [(1000 + i, ("qa", "note", "title", "mix")[i % 4], "s0", f"{('Describe', 'Sum up', 'Explain', 'Tell')[i % 4]} finding {i} of the {i} cells.", (short, long)[i // 40]) for i in range(80)]
+    df = spark.createDataFrame(good + other, "pair_id long, dataset_name string, source string, instruction string, answer string")
+    got = {r.pair_id: r.defect for r in pairs.defects(df).collect()}
+    assert len(long) > 850 and not any(phrase in (short + long).lower() for phrase in pairs.DECLINES)
+    assert all(got.get(1000 + i) == "refusal" for i in range(80))
+    assert sum(d == "refusal" for k, d in got.items() if k < 1000) == 0
+
+
+def test_clusters_are_verified(spark):
+    counted = spark.createDataFrame([("we do not give such texts to readers here", 9), ("we do not give such texts to", 3), ("all of the mice were kept in cages", 4)], "opening string, rows long")
+    assert dict(rows(pairs.cluster_openings(counted))) == {"we do not give such texts to readers here": "we do not give such texts to readers here", "all of the mice were kept in cages": "all of the mice were kept in cages", "we do not give such texts to": "we do not give such texts to"}
+    joined = spark.createDataFrame([("we do not give such texts to readers here", 9), ("we do not give such texts to readers here too", 3)], "opening string, rows long")
+    assert {t for _, t in rows(pairs.cluster_openings(joined))} == {"we do not give such texts to readers here"}
+
+
+def test_language_asked_for_anywhere():
+    passage = "These cells regulate mice in genes of the spores. " * 12
+    assert pairs.wanted_language(f"Read this first.\nThen answer in German.\n{passage}") == "de"
+    assert pairs.wanted_language(f"Sum up the passage. It has been long. Please write your text in French. {passage}") == "fr"
+    assert pairs.wanted_language(passage + "Samples were kept in Spanish caves. " + passage) == "en"
+    assert pairs.words("It's l’effet of A_b, 中文 'x'") == ["it's", "l'effet", "of", "a", "b", "中", "文", "x"]
+
+
 # p7, p8, p9
 
 
