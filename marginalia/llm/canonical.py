@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.terms import BLANK
-from marginalia.session import materialize
+from marginalia.session import broadcast_if_small, materialize
 
 #: Edits (insert, delete, replace, swap of neighbours) up to which a token is repaired by the join; neighbourhoods of
 #: so many deletions find all such pairs.
@@ -25,6 +26,10 @@ REACH = 2
 #: Parameters of the decision: least score of a match; share of a stray token's weight that counts against it; score
 #: from which a pair is a candidate for the closer look, and up to which a value needs one.
 LEAST, STRAY, CANDIDATE, SURE = 0.64, 0.12, 0.2, 0.85
+#: Words of the reference list up to which they are sent to the tokens (some 150 neighbours of a few bytes each).
+LISTED = 2000
+#: Names of the reference list up to which they are broadcast (some 100 bytes each).
+ENTRIES = 20_000
 #: Tokens that may have been written together, at most; letters at an end of a long token that bring it to a name's word,
 #: and the score such a pair needs.
 SPAN, GLUE, GLUED = 6, 5, 0.8
@@ -86,7 +91,17 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def closeness(tokens: list[str], name: list[str]) -> float:
+def may_reach(letters: Counter, name: Sequence[str], least: float) -> bool:
+    """Whether a value of these letters can have a ``closeness`` of ``least``: each letter it lacks costs an edit."""
+    hits = 0
+    for word in name:
+        lacking = sum((Counter(word) - letters).values())
+        if lacking * 2 < len(word) and (len(word) > 3 or not lacking):
+            hits += len(word) - lacking
+    return hits >= least * sum(map(len, name))
+
+
+def closeness(tokens: Sequence[str], name: Sequence[str]) -> float:
     """Share of a name's letters that return in a value, whatever the order and the gaps between its words.
 
     Each word takes a stretch of its own, longer words first; words of three letters or fewer must return unchanged.
@@ -94,7 +109,10 @@ def closeness(tokens: list[str], name: list[str]) -> float:
     run = "".join(tokens)
     hits = 0
     for word in sorted(name, key=len, reverse=True):
-        d, start, end = edits(run, word, inside=True)
+        if (at := run.find(word)) >= 0:
+            d, start, end = 0, at, at + len(word)
+        else:
+            d, start, end = edits(run, word, inside=True)
         if d * 2 < len(word) and (len(word) > 3 or d == 0):
             hits += len(word) - d
             run = run[:start] + " " * (end - start) + run[end:]
@@ -130,9 +148,28 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-@F.pandas_udf(T.DoubleType())
-def _closeness(tokens: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([closeness(list(t), list(n)) for t, n in zip(tokens, name)], dtype=float)
+def _close_look(pairs: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(feature, value, item_id, score) of the (feature, value, item_id, tokens) pairs whose closeness reaches ``least``."""
+
+    @F.pandas_udf(T.DoubleType())
+    def close(tokens: pd.Series, name: pd.Series) -> pd.Series:
+        known: dict[tuple, float | None] = {}
+        letters: dict[tuple, Counter] = {}
+
+        def one(ts: tuple, ws: tuple) -> float | None:
+            if (ts, ws) not in known:
+                if ts not in letters:
+                    letters[ts] = Counter("".join(ts))
+                score = closeness(ts, ws) if may_reach(letters[ts], ws, least) else 0.0
+                known[ts, ws] = score if score >= least else None
+            return known[ts, ws]
+
+        return pd.Series([one(tuple(t), tuple(n)) for t, n in zip(tokens, name)], dtype=float)
+
+    # few bytes, much work: as many tasks as the session shuffles into, values of the same tokens in one of them
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tokens")
+    named = spread.join(broadcast_if_small(entries.select("feature", "item_id", F.col("tokens").alias("_name")), ENTRIES), ["feature", "item_id"])
+    return named.select("feature", "value", "item_id", close("tokens", "_name").alias("score")).filter("score is not null")
 
 
 def vocabulary(domain: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -143,18 +180,53 @@ def vocabulary(domain: DataFrame, features: Sequence[str]) -> DataFrame:
     return names.withColumn("tokens", _fold("name")).withColumn("whole", F.array_join("tokens", "")).filter(F.size("tokens") > 0)
 
 
+def _deletions(token: str) -> set[str]:
+    """As ``neighbours``."""
+    one = {token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) > 1 else set()
+    two = {t[:i] + t[i + 1 :] for t in one for i in range(len(t))} if len(token) > 3 else set()
+    return {token} | one | two
+
+
+def _near_words(tokens: DataFrame, words: DataFrame, listed: list) -> DataFrame:
+    """(feature, token, word): pairs that share a neighbour, found at the tokens in the neighbours of a short list of words."""
+    spark = tokens.sparkSession
+    at: dict[str, dict[str, list[str]]] = {}
+    for feature, word in sorted(map(tuple, listed)):
+        own = at.setdefault(feature, {})
+        for n in _deletions(word):
+            own.setdefault(n, []).append(word)
+    shared = spark.sparkContext.broadcast(at)  # neighbours of at most LISTED words
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def near(features: pd.Series, texts: pd.Series) -> pd.Series:
+        known = shared.value
+
+        def one(feature: str, token: str) -> list[str]:
+            own = known.get(feature, {})
+            return sorted({w for n in _deletions(token) if n in own for w in own[n]})
+
+        return pd.Series([one(*x) for x in zip(features, texts)], dtype=object)
+
+    return tokens.select("feature", "token", F.explode(near("feature", "token")).alias("word"))
+
+
 def repair_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(feature, token, word, sim): reference words within reach of each distinct token.
 
-    A single letter stands for the words it begins, as in abbreviated names.
+    Words up to ``LISTED`` go to the tokens, more are joined to them; either way a pair meets on a common neighbour. A
+    single letter stands for the words it begins, as in abbreviated names.
     """
+    spread = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     longest = words.groupBy("feature").agg(F.max(F.length("word")).alias("_most"))
-    near = tokens.join(longest, "feature").filter(F.length("token") <= F.col("_most") + REACH).drop("_most")
-    left = near.select("feature", "token", F.explode(neighbours(F.col("token"))).alias("_n"))
-    right = words.select("feature", "word", F.explode(neighbours(F.col("word"))).alias("_n"))
-    pairs = left.join(right, ["feature", "_n"]).select("feature", "token", "word").distinct()
     # few bytes, much work: as many tasks as the session shuffles into, which adaptive execution would merge
-    pairs = pairs.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    near = tokens.join(F.broadcast(longest), "feature").filter(F.length("token") <= F.col("_most") + REACH).drop("_most").repartition(spread, "token")
+    listed = words.select("feature", "word").distinct().limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        pairs = _near_words(near, words, listed)
+    else:
+        left = near.select("feature", "token", F.explode(neighbours(F.col("token"))).alias("_n"))
+        right = words.select("feature", "word", F.explode(neighbours(F.col("word"))).alias("_n"))
+        pairs = left.join(right, ["feature", "_n"]).select("feature", "token", "word").distinct().repartition(spread, "token")
     repaired = pairs.withColumn("sim", _similarity(F.col("token"), F.col("word"))).filter("sim is not null")
     letters = tokens.filter(F.length("token") == 1).join(words.filter(F.length("word") > 3).withColumn("token", F.substring("word", 1, 1)), ["feature", "token"])
     return repaired.unionByName(letters.select("feature", "token", "word", F.lit(0.8).alias("sim")))
@@ -195,17 +267,14 @@ def rank_entries(values: DataFrame, domain: DataFrame, features: Sequence[str])
     # entries of which the repair found only a part: letters of the whole name against the whole value
     unsure = best.groupBy("feature", "value").agg(F.max("score").alias("_top")).filter(F.col("_top") < SURE)
     near = best.filter(F.col("score") >= CANDIDATE).join(unsure, ["feature", "value"]).join(folded, ["feature", "value"])
-    close = near.join(entries.select("feature", "item_id", F.col("tokens").alias("_name")), ["feature", "item_id"])
-    close = close.select("feature", "value", "item_id", _closeness("tokens", "_name").alias("score"))
+    close = _close_look(near.drop("score", "_top"), entries, LEAST)
     # names glued to other words: long tokens that begin or end as a word of a name does, by the same closer look
     ends = lambda c: F.explode(F.array(F.concat(F.lit("^"), F.left(c, F.lit(GLUE))), F.concat(F.lit("$"), F.right(c, F.lit(GLUE)))))
     sure = best.groupBy("feature", "value").agg(F.max("score").alias("_top")).filter(F.col("_top") >= SURE)
     long = pieces.filter(F.length("token") >= 2 * GLUE - 2).select("feature", "value", ends(F.col("token")).alias("_e")).join(sure, ["feature", "value"], "left_anti")
     named = parts.filter(F.length("word") >= GLUE).select("feature", "item_id", ends(F.col("word")).alias("_e"))
     met = long.join(named, ["feature", "_e"]).select("feature", "value", "item_id").distinct().join(folded, ["feature", "value"])
-    glued = met.join(entries.select("feature", "item_id", F.col("tokens").alias("_name")), ["feature", "item_id"])
-    glued = glued.select("feature", "value", "item_id", _closeness("tokens", "_name").alias("score")).filter(F.col("score") >= GLUED)
-    close = close.unionByName(glued)
+    close = close.unionByName(_close_look(met, entries, GLUED))
     top = F.struct("score", -F.col("item_id"))
     return best.unionByName(close).groupBy("feature", "value").agg(F.max_by("item_id", top).alias("item_id"), F.max("score").alias("score"))
 

@@ -40,7 +40,9 @@ def test_values_without_rows_or_entries(spark, domain):
     assert rows(canonical.map_values(one, "record_id", ["map_organism"], domain.limit(0))) == [(1, "map_organism", -1)]
 
 
-def test_neighbourhoods_miss_no_near_token(spark):
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_neighbourhoods_miss_no_near_token(spark, monkeypatch, listed):
+    monkeypatch.setattr(canonical, "LISTED", listed)
     rnd = random.Random(3)
     words = ["".join(rnd.choices("abcd", k=rnd.randint(2, 8))) for _ in range(150)]
     found = {(r.token, r.word) for r in canonical.repair_tokens(spark.createDataFrame([("f", w) for w in set(words)], "feature string, token string"), spark.createDataFrame([("f", w) for w in set(words[:40])], "feature string, word string")).collect()}
@@ -52,6 +54,13 @@ def test_neighbourhoods_miss_no_near_token(spark):
     assert {(a, b) for a in set(words) for b in set(words[:40]) if near(a, b)} <= found
 
 
+def test_letters_bound_the_closer_look():
+    rnd = random.Random(6)
+    for _ in range(400):
+        ts, name = (["".join(rnd.choices("abcde", k=rnd.randint(1, 9))) for _ in range(rnd.randint(1, 3))] for _ in range(2))
+        assert canonical.may_reach(Counter("".join(ts)), name, canonical.closeness(ts, name))
+
+
 # p3
 
 
