@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,32 +15,53 @@ from pyspark.sql import functions as F
 # concentrated differential privacy
 
 
+# rho-zCDP bounds the Renyi divergence of every order a > 1 by a * rho. Solved for one of delta, eps and rho, the
+# conversion at one order is closed; each function below takes the best order. Orders are written as 1 + e^u.
+
+
+def _best_order(of: Callable[[float, float], float]) -> float:
+    """Least value of ``of(order, log(1 - 1 / order))``, which falls and then rises with the order, by golden sections of u."""
+    ratio = (math.sqrt(5) - 1) / 2
+
+    def at(u: float) -> float:
+        return of(1 + math.exp(u), u - math.log1p(math.exp(u)))
+
+    low, high = -25.0, 60.0
+    x, y = high - ratio * (high - low), low + ratio * (high - low)
+    fx, fy = at(x), at(y)
+    while high - low > 1e-9:
+        if fx <= fy:
+            high, y, fy = y, x, fx
+            x = high - ratio * (high - low)
+            fx = at(x)
+        else:
+            low, x, fx = x, y, fy
+            y = low + ratio * (high - low)
+            fy = at(y)
+    return min(fx, fy)
+
+
 def zcdp_delta(rho: float, eps: float) -> float:
-    """Least delta for which rho-zCDP gives (eps, delta): the minimum over the order of the Renyi bound."""
+    """Least delta for which rho-zCDP gives (eps, delta)."""
     if rho < 0 or eps < 0:
         raise ValueError("rho and eps must not be negative")
     if rho == 0:
         return 0.0
-
-    def slope(a: float) -> float:
-        return (2 * a - 1) * rho - eps + math.log1p(-1 / a)
-
-    a = _root(slope, 1.01, (eps + 1) / (2 * rho) + 2)
-    return min(1.0, math.exp((a - 1) * (a * rho - eps) + a * math.log1p(-1 / a)) / (a - 1))
+    return math.exp(min(0.0, _best_order(lambda a, shrink: (a - 1) * (a * rho - eps + shrink) - math.log(a))))
 
 
 def zcdp_eps(rho: float, delta: float) -> float:
     """Least eps for which rho-zCDP gives (eps, delta)."""
     if delta >= 1 or rho == 0:
         return 0.0
-    return _root(lambda e: delta - zcdp_delta(rho, e), 0.0, rho + 2 * math.sqrt(rho * math.log(1 / delta)), upper=True)
+    return max(0.0, _best_order(lambda a, shrink: a * rho + shrink - math.log(a * delta) / (a - 1)))
 
 
 def zcdp_rho(eps: float, delta: float) -> float:
     """Largest rho for which rho-zCDP gives (eps, delta)."""
     if delta >= 1:
         return 0.0
-    return _root(lambda r: zcdp_delta(r, eps) - delta, 0.0, eps + 1.0)
+    return max(0.0, -_best_order(lambda a, shrink: -(eps - shrink + math.log(a * delta) / (a - 1)) / a))
 
 
 def _root(f: Callable[[float], float], low: float, high: float, upper: bool = False, width: float = 1e-10) -> float:
@@ -147,53 +169,98 @@ def training_sigma(target: float, delta: float, rate: float, steps: int) -> floa
 
 # numerical privacy-loss accounting
 
-#: Grid of privacy losses: half width and points.
-LOSS_RANGE, LOSS_POINTS = 24.0, 1 << 18
+#: Error of eps that is added to the result, at least, and at most where losses reach far; share of delta that covers
+#: rounding and cut tails, each; cells of the noise; points of the loss grid at most.
+LOSS_ERROR, LOSS_ERROR_MOST, LOSS_TAIL, LOSS_CELLS, LOSS_POINTS = 2e-4, 0.5, 1e-3, 100_000, 1 << 21
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.array([math.erf(v) for v in (x / math.sqrt(2)).ravel()]).reshape(x.shape))
-
-
-def _losses(stage: Stage, removal: bool) -> np.ndarray:
-    """Mass of one step's privacy loss on the grid, rounded to the nearest point, the mean kept; last entry: infinity."""
-    step = 2 * LOSS_RANGE / LOSS_POINTS
-    xs = np.linspace(-12 * stage.sigma, 1 + 12 * stage.sigma, 40_001)
-    mid = (xs[1:] + xs[:-1]) / 2
-    base = np.diff(_normal_cdf(xs / stage.sigma))
-    shifted = np.diff(_normal_cdf((xs - 1) / stage.sigma))
-    mixed = (1 - stage.rate) * base + stage.rate * shifted
-    expo = (2 * mid - 1) / (2 * stage.sigma**2)
+    return 0.5 * np.array([math.erfc(v) for v in (x / -math.sqrt(2)).ravel()]).reshape(x.shape)
+
+
+@lru_cache(8)
+def _cells(sigma: float, tail: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, base, shifted): cells of the noise that hold all but ``tail`` of it, and both distribution functions at their edges."""
+    reach = math.sqrt(2 * math.log(4 / tail))
+    xs = np.linspace(-reach * sigma, 1 + reach * sigma, LOSS_CELLS + 1)
+    return xs, _normal_cdf(xs / sigma), _normal_cdf((xs - 1) / sigma)
+
+
+def _losses(stage: Stage, removal: bool, step: float, points: int, tail: float) -> tuple[np.ndarray, float]:
+    """(mass on the grid, mass at infinity) of one step's privacy loss.
+
+    Every cell of the noise counts with its largest loss, split between two grid points so that the mean stays; what lies
+    beyond the cells or the grid on the side of large losses is infinite, on the other side it counts as the last cell.
+    """
+    xs, base, shifted = _cells(stage.sigma, tail)
+    below = (1 - stage.rate) * base + stage.rate * shifted if removal else base
+    expo = (2 * xs - 1) / (2 * stage.sigma**2)
     loss = np.logaddexp(math.log1p(-stage.rate), math.log(stage.rate) + expo) if stage.rate < 1 else expo
-    mass, loss = (mixed, loss) if removal else (base, -loss)
-    at = loss / step
-    low = np.floor(at)
+    mass = np.diff(below)
+    if removal:
+        largest, endless = loss[1:], 1 - below[-1]
+        mass[0] += below[0]
+    else:
+        largest, endless = -loss[:-1], below[0]
+        mass[-1] += 1 - below[-1]
+    at = largest / step
+    low = np.floor(at).astype(np.int64)
     share = at - low
-    out = np.zeros(LOSS_POINTS)
+    over = low + 1 >= points // 2
+    endless += float(mass[over].sum())
+    mass = np.where(over, 0.0, mass)
+    out = np.zeros(points)
     for place, weight in ((low, 1 - share), (low + 1, share)):
-        np.add.at(out, np.clip(place.astype(int), -LOSS_POINTS // 2, LOSS_POINTS // 2 - 1) % LOSS_POINTS, mass * weight)
-    return out
+        np.add.at(out, np.clip(place, -points // 2, points // 2 - 1) % points, mass * weight)
+    return out, float(endless)
+
+
+def _loss_reach(stages: Sequence[Stage], tail: float) -> float:
+    """A loss that the composed stages exceed, in size, with at most ``tail``: by Markov's inequality over the Renyi bounds."""
+    best = math.inf
+    for a in ORDERS:
+        try:
+            best = min(best, sum(renyi(s, a) for s in stages) - math.log(tail) / (a - 1))
+        except (OverflowError, ValueError):
+            continue
+    return max(best, -math.log(tail))
 
 
 def loss_epsilon(stages: Sequence[Stage], delta: float) -> float:
-    """eps of the composed stages at ``delta`` from their privacy-loss distributions, by Fourier transforms."""
-    step = 2 * LOSS_RANGE / LOSS_POINTS
-    values = (np.arange(LOSS_POINTS) + LOSS_POINTS // 2) % LOSS_POINTS - LOSS_POINTS // 2
-    order = np.argsort(values)
+    """Upper bound of the eps of the composed stages at ``delta`` from their privacy-loss distributions, by Fourier transforms.
+
+    Rounding keeps the mean of each loss, so by Hoeffding's inequality the rounded sum is within an error of the true one
+    but for a share of delta. The grid reaches as far as the Renyi bounds say; its error, ``LOSS_ERROR`` or what so many
+    points need to reach that far, is added. Losses that would need more than ``LOSS_ERROR_MOST`` are refused.
+    """
+    spare = LOSS_TAIL * delta
+    steps = sum(s.steps for s in stages)
+    reach, spread = _loss_reach(stages, spare), math.sqrt(steps / 2 * math.log(2 / spare))
+    error = max(LOSS_ERROR, 2.01 * reach / LOSS_POINTS * spread)
+    if not error <= LOSS_ERROR_MOST:
+        raise ValueError("the privacy losses of these stages do not fit on the grid")
+    step = error / spread
+    points = 1 << math.ceil(math.log2(2 * reach / step + 2))
+    values = (np.arange(points) + points // 2) % points - points // 2
     worst = 0.0
     for removal in (True, False):
-        spectrum = np.ones(LOSS_POINTS // 2 + 1, complex)
+        spectrum, finite = np.ones(points // 2 + 1, complex), 0.0
         for s in stages:
-            spectrum *= np.fft.rfft(_losses(s, removal)) ** s.steps
-        mass = np.maximum(np.fft.irfft(spectrum, LOSS_POINTS), 0)[order]
-        loss = values[order] * step
-
-        def spent(eps: float, mass=mass, loss=loss) -> float:
+            mass, endless = _losses(s, removal, step, points, spare / steps)
+            spectrum *= np.fft.rfft(mass) ** s.steps
+            finite += s.steps * math.log1p(-endless)
+        mass = np.maximum(np.fft.irfft(spectrum, points), 0)
+        loss = values * step
+        lost = -math.expm1(finite) + 2 * spare  # infinite losses, and what rounding and the grid's ends may hide
+
+        def spent(eps: float, mass=mass, loss=loss, lost=lost) -> float:
             above = loss > eps
-            return float((mass[above] * -np.expm1(eps - loss[above])).sum())
+            return float((mass[above] * -np.expm1(eps - loss[above])).sum()) + lost
 
-        worst = max(worst, _root(lambda e: delta - spent(e), 0.0, LOSS_RANGE, upper=True, width=1e-6))
-    return worst
+        if spent(reach) > delta:
+            raise ValueError("delta is too small for the grid of privacy losses")
+        worst = max(worst, _root(lambda e: delta - spent(e), 0.0, reach, upper=True, width=1e-6))
+    return worst + error
 
 
 def noise_multiplier(target: float, delta: float, rate: float, steps: int, numeric: bool = True) -> float:
@@ -203,7 +270,22 @@ def noise_multiplier(target: float, delta: float, rate: float, steps: int, numer
     bound = training_sigma(target, delta, rate, steps)
     if not numeric:
         return bound
-    return search_sigma(lambda s: loss_epsilon([Stage(s, rate, steps)], delta), target, 0.5 * bound, bound, 10)
+    return _walked_search(lambda s: loss_epsilon([Stage(s, rate, steps)], delta), target, bound, 9)
+
+
+def _walked_search(epsilon_of: Callable[[float], float], target: float, high: float, steps: int, least: float = 1e-4) -> float:
+    """Least noise that meets ``target``, given one that does; the lower end of the bracket is walked down until it fails."""
+
+    def exceeds(sigma: float) -> bool:
+        try:
+            return epsilon_of(sigma) > target
+        except (OverflowError, ValueError, FloatingPointError):
+            return True
+
+    low = high / math.sqrt(2)
+    while low > least and not exceeds(low):
+        high, low = low, low / math.sqrt(2)
+    return search_sigma(epsilon_of, target, low, high, steps)
 
 
 def stepped_sigma(target: float, delta: float, rate: float, steps: int) -> float:
@@ -228,7 +310,7 @@ def second_stage_sigma(target: float, delta: float, first: Stage, rate: float, s
         high *= math.sqrt(2)
         if high > 1e4:
             return math.nan
-    return search_sigma(lambda s: renyi_epsilon([first, Stage(s, rate, steps)], delta), target, high / 4, high, 30)
+    return _walked_search(lambda s: renyi_epsilon([first, Stage(s, rate, steps)], delta), target, high, 30)
 
 
 def training_steps(n: int, batch: int, epochs: float) -> int:

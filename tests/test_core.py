@@ -405,3 +405,38 @@ def test_streams(spark, tmp_path):
     q = steps.tumbling_log(stream(), "t", "1 minute", "1 minute", "v").writeStream.outputMode("complete").format("memory").queryName("log").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(rows) s from log").first().s == 4
+
+
+def test_numerical_accounting_is_an_upper_bound():
+    def exact(sigma, steps, delta):
+        mu = math.sqrt(steps) / sigma
+        cdf = lambda x: 0.5 * math.erfc(-x / math.sqrt(2))
+        low, high = 0.0, 300.0
+        for _ in range(100):
+            mid = (low + high) / 2
+            low, high = (mid, high) if cdf(-mid / mu + mu / 2) - math.exp(mid) * cdf(-mid / mu - mu / 2) > delta else (low, mid)
+        return high
+
+    for sigma, steps in ((0.5, 10), (0.3, 10), (1.0, 100), (5.0, 40)):
+        known = exact(sigma, steps, 1e-5)
+        got = accounting.loss_epsilon([accounting.Stage(sigma, 1.0, steps)], 1e-5)
+        assert known <= got <= known + 0.02
+    assert abs(exact(0.5, 10, 1e-5) - 46.21) < 0.01 and abs(exact(0.3, 10, 1e-5) - 99.67) < 0.01
+    noise = [accounting.noise_multiplier(t, 1e-5, 0.01, 500) for t in (30, 60, 99)]
+    assert noise[0] > noise[1] > noise[2] > 0.1
+    for t, s in zip((30, 60, 99), noise):
+        assert accounting.loss_epsilon([accounting.Stage(s, 0.01, 500)], 1e-5) <= t
+    with pytest.raises(ValueError):
+        accounting.loss_epsilon([accounting.Stage(1e-3, 1.0, 10)], 1e-5)
+
+
+def test_second_stage_meets_the_budget():
+    first = accounting.Stage(10)
+    sigma = accounting.second_stage_sigma(50, 1e-5, first, 0.001, 10)
+    assert sigma < 0.25 and accounting.renyi_epsilon([first, accounting.Stage(sigma, 0.001, 10)], 1e-5) <= 50 < accounting.renyi_epsilon([first, accounting.Stage(0.98 * sigma, 0.001, 10)], 1e-5)
+
+
+def test_zcdp_conversions_agree():
+    for rho in (0.001, 0.18, 1.0, 20.0):
+        eps = accounting.zcdp_eps(rho, 1e-6)
+        assert abs(accounting.zcdp_rho(eps, 1e-6) - rho) < 1e-6 * max(1, rho) and abs(math.log(accounting.zcdp_delta(rho, eps) / 1e-6)) < 1e-4
