@@ -24,8 +24,8 @@ REASONS = ("syntax", "columns", "values")
 
 _FENCE = re.compile(r"```(?:json)?(.*)```", re.DOTALL)
 _JSON_SPACE = r"[ \t\n\r]*+"
-#: A strict JSON string whose escapes are bounded: no option text is longer, so no conforming row is missed.
-_JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+){0,400}+"'
+#: A strict JSON string with a bounded number of escapes.
+_JSON_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+){0,%d}+"'
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,9 +47,9 @@ def unwrap(text: Column) -> Column:
     return let(_bare(text), inner)
 
 
-def flat_object_pattern(n: int) -> str:
-    """Java pattern of a strict JSON object of exactly ``n`` string members."""
-    s, w = _JSON_STRING, _JSON_SPACE
+def flat_object_pattern(n: int, escapes: int) -> str:
+    """Java pattern of a strict JSON object of exactly ``n`` string members of at most so many escapes each."""
+    s, w = _JSON_STRING % escapes, _JSON_SPACE
     member = f"{w}{s}{w}:{w}{s}{w}"
     return rf"^\{{{member}(?:,{member}){{{n - 1}}}\}}\z"
 
@@ -67,7 +67,9 @@ def strict_load(raw: DataFrame, text: str, options: dict[str, list[str]], into:
     """Only the conforming rows of ``raw``, with the parsed record as struct column ``into``."""
     names = sorted(options)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    pattern = flat_object_pattern(len(names))
+    # a character of a name or an option is at most two escapes (of a surrogate pair), so no conforming row is missed
+    longest = max(map(len, [*names, *(o for own in options.values() for o in own)]), default=0)
+    pattern = flat_object_pattern(len(names), 2 * longest)
 
     def checked(j: Column) -> Column:
         ok = F.lit(True)
@@ -127,6 +129,12 @@ def _is_json_deep(body: str) -> bool | None:
 
 def diagnose(text: str | None, options: dict[str, frozenset[str]]) -> str | None:
     """Why ``text`` does not load, or None if it does. Defined for null, blank and arbitrarily nested or long texts."""
+    found = record_or_reason(text, options)
+    return found if isinstance(found, str) else None
+
+
+def record_or_reason(text: str | None, options: dict[str, frozenset[str]]) -> str | dict[str, str]:
+    """The record that ``text`` holds, or why it does not load."""
     if text is None:
         return "syntax"
     body = text.strip()
@@ -143,7 +151,7 @@ def diagnose(text: str | None, options: dict[str, frozenset[str]]) -> str | None
     names = [k for k, _ in pairs[1]]
     if len(names) != len(options) or set(names) != set(options):
         return "columns"
-    return None if all(isinstance(v, str) and v in options[k] for k, v in pairs[1]) else "values"
+    return dict(pairs[1]) if all(isinstance(v, str) and v in options[k] for k, v in pairs[1]) else "values"
 
 
 def _top_names_differ(body: str, options: dict[str, frozenset[str]]) -> bool:
@@ -162,7 +170,8 @@ def split_load(raw: DataFrame, key: str, text: str, options: dict[str, list[str]
     """(loaded, failed) of the records in ``raw[text]``.
 
     ``loaded`` has ``key`` and a column for each feature; ``failed`` has ``key`` and ``reason``. Either holds one row
-    per key: a redelivered row counts once, and a key of which any delivery conforms is loaded. Rows whose key is null
+    per key: a redelivered row counts once, and a key of which any delivery conforms is loaded. A row that the strict load
+    leaves over and the diagnosis finds no fault with is loaded from the diagnosis. Rows whose key is null
     are kept apart by their text. Null and blank texts fail with ``syntax``; other columns of ``raw`` may have any
     name. An empty input gives two empty results.
     """
@@ -174,12 +183,15 @@ def split_load(raw: DataFrame, key: str, text: str, options: dict[str, list[str]
     rest = rows.join(good.select("_off", "_salt"), ["_off", "_salt"], "left_anti").dropDuplicates(["_off", "_salt"])
     sets = {k: frozenset(v) for k, v in options.items()}
 
-    @F.pandas_udf("string")
-    def reason(texts: pd.Series) -> pd.Series:
-        return pd.Series([diagnose(t, sets) for t in texts], dtype=object)
+    @F.pandas_udf("reason string, record array<string>")
+    def diagnosis(texts: pd.Series) -> pd.DataFrame:
+        found = [record_or_reason(t, sets) for t in texts]
+        return pd.DataFrame({"reason": [x if isinstance(x, str) else None for x in found], "record": [None if isinstance(x, str) else [x[n] for n in names] for x in found]})
 
-    failed = rest.select(F.col("_key").alias(key), reason("_text").alias("reason")).filter(F.col("reason").isNotNull())
-    return loaded, failed
+    told = rest.select("_key", diagnosis.asNondeterministic()("_text").alias("_d"))  # else it is run once more for the filter
+    failed = told.filter(F.col("_d.reason").isNotNull()).select(F.col("_key").alias(key), F.col("_d.reason").alias("reason"))
+    left = told.filter(F.col("_d.reason").isNull()).select(F.col("_key").alias(key), *[F.element_at("_d.record", i + 1).alias(n) for i, n in enumerate(names)])
+    return loaded.unionByName(left), failed
 
 
 def failure_report(failed: DataFrame, raw: DataFrame, key: str, by: Iterable[str]) -> DataFrame:

@@ -63,3 +63,26 @@ def test_split_equals_brute_force(spark):
 def test_empty(spark):
     loaded, failed = split_load(spark.createDataFrame([], "k long, t string"), "k", "t", OPTIONS)
     assert loaded.columns == ["k", "a", "b"] and loaded.count() == 0 and failed.count() == 0
+
+
+def test_no_record_is_lost_to_escapes(spark):
+    from marginalia.operators import ingest
+
+    long = "x" * 401
+    options = {"a": [long, "y"], "b": ["q"]}
+    escaped = "".join(f"\\u{ord(c):04x}" for c in long)
+    rows = [(1, f'{{"a":"{escaped}","b":"q"}}'), (2, '{"a":"' + "\\u0079" + '","b":"\\u0071"}'), (3, f'{{"a":"{escaped}\\u0078","b":"q"}}')]
+    df = spark.createDataFrame(rows, "row_id long, generated_text string")
+    loaded, failed = split_load(df, "row_id", "generated_text", options)
+    assert failed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.row_id: r.a for r in loaded.collect()} == {1: long, 2: "y"} and [tuple(r) for r in failed.collect()] == [(3, "values")]
+    assert ingest.flat_object_pattern(2, 7).count("{0,7}") == 4
+
+
+def test_a_row_the_strict_load_leaves_over_is_loaded(spark, monkeypatch):
+    from marginalia.operators import ingest
+
+    monkeypatch.setattr(ingest, "flat_object_pattern", lambda n, escapes: "^never$")
+    df = spark.createDataFrame([(1, '{"a":"x","b":"q"}'), (2, "{}")], "row_id long, generated_text string")
+    loaded, failed = split_load(df, "row_id", "generated_text", OPTIONS)
+    assert [tuple(r) for r in loaded.collect()] == [(1, "x", "q")] and [tuple(r) for r in failed.collect()] == [(2, "columns")]
