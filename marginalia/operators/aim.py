@@ -162,7 +162,10 @@ def _weighted_vectors(counted: DataFrame, cliques: Sequence[Clique], sizes: Mapp
     ids = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in q): q for q in cliques}
     sets = [[F.col(c) for c in q] for q in cliques]
     rows = counted.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.sum("_n").alias("_n"), F.grouping_id().alias("_id"))
-    for r in rows.toLocalIterator():
-        q = ids[r["_id"]]
-        out[q][tuple(r[c] for c in q)] = r["_n"]
+    place = F.coalesce(*[F.when(F.col("_id") == i, marginals.cell_index([F.col(c) for c in q], [sizes[c] for c in q])) for i, q in ids.items()])
+    found = rows.select("_id", place.alias("_at"), "_n").toArrow()
+    which, at, n = (found.column(i).to_numpy() for i in range(3))
+    for i, q in ids.items():
+        own = which == i
+        out[q].ravel()[at[own]] = n[own]
     return out

@@ -126,7 +126,7 @@ def uniform_bins(domain: Numerical, count: int) -> Encoding:
 
 
 def merge_rare(rare: Sequence[bool]) -> Encoding:
-    """Codes without the rare ones, which share the last code; back from it, a rare code chosen by a keyed hash."""
+    """Codes without the rare ones, which share the last code; back from it, one of the rare codes by chance (seeded, but by the place of a row, not by its key)."""
     mask = np.asarray(rare)
     if mask.ndim != 1 or mask.dtype != bool:
         raise ValueError(f"a mask of truth values is needed, not {mask.dtype} of {mask.ndim} dimensions")

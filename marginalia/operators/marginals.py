@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.session import bounded_rows
 
 Clique = tuple[str, ...]
 #: Cells of one clique that may go to the driver.
@@ -70,13 +69,24 @@ def vectors(df: DataFrame, cliques: Sequence[Clique], sizes: Mapping[str, int])
     for q, x in out.items():
         if x.size > MAX_CELLS:
             raise ValueError(f"clique {q} has {x.size} cells; at most {MAX_CELLS} go to the driver")
-    by_name = {",".join(q): q for q in cliques}
-    for r in bounded_rows(marginal_counts(df, cliques), int(sum(x.size for x in out.values())), "marginal cells"):
-        q = by_name[r.clique]
-        out[q][tuple(int(v) for v in r.cell)] = r.n
+    names = {",".join(q): q for q in cliques}
+    places = [F.when(F.col("clique") == name, cell_index([F.element_at("cell", i + 1).cast("long") for i in range(len(q))], [sizes[c] for c in q])) for name, q in names.items()]
+    found = marginal_counts(df, cliques).select("clique", F.coalesce(*places).alias("at"), "n").toArrow()  # at most the cells above
+    clique, at, n = (found.column(i).to_numpy() for i in range(3))
+    for name, q in names.items():
+        own = clique == name
+        out[q].ravel()[at[own].astype(np.int64)] = n[own]
     return out
 
 
+def cell_index(codes: Sequence[Column], sizes: Sequence[int]) -> Column:
+    """Place of a cell in the dense tensor of a clique, in order of its last code first."""
+    at = F.lit(0).cast("long")
+    for code, size in zip(codes, sizes):
+        at = at * size + code
+    return at
+
+
 def keyed_uniform(*keys: Column, seed: int = 0) -> Column:
     """A number in (0, 1) from a keyed hash: the same after any repartitioning. Not a secure source of noise."""
     text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)))

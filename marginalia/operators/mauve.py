@@ -91,8 +91,16 @@ def score(hist: DataFrame, points: int = 25, scale: float = 5.0) -> DataFrame:
     return one.crossJoin(two).crossJoin(frontier).select(((F.col("a") + F.col("b")) / 2).alias("mauve"), "frontier_integral")  # one row each
 
 
+#: Buckets by the rule of a tenth of the smaller side at most: beyond it k-means would grow with the square of the rows.
+MOST_BUCKETS = 5000
+
+
 def buckets(n_real: int, n_synthetic: int) -> int:
-    return max(2, round(min(n_real, n_synthetic) / 10))
+    """A tenth of the smaller side; more than ``MOST_BUCKETS`` are an error, and the number must be given."""
+    k = max(2, round(min(n_real, n_synthetic) / 10))
+    if k > MOST_BUCKETS:
+        raise ValueError(f"{k} buckets by the rule; above {MOST_BUCKETS} give ``clusters``")
+    return k
 
 
 def mauve(real: DataFrame, synthetic: DataFrame, vector: str = "embedding", clusters: int | None = None, **quantising) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +55,13 @@ def summed_gradients(df: DataFrame, features: str, label: str, weights: np.ndarr
     return g.reshape(shape), n, loss
 
 
-def train(df: DataFrame, key: str, features: str, label: str, width: int, classes: int, rate: float, steps: int, sigma: float, clip: float = 1.0, learning_rate: float = 1.0, noise: Noise | None = None, seed: int = 0) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+def train(df: DataFrame, key: str, features: str, label: str, width: int, classes: int, rate: float, steps: int, sigma: float, clip: float = 1.0, learning_rate: float = 1.0, noise: Noise | None = None, seed: int | None = None) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """(weights, [(step, examples, loss)]): Poisson-sampled steps, noise added once to the summed clipped gradients.
 
-    The divisor is the expected batch, not the drawn one, so it reveals nothing.
+    The divisor is the expected batch, not the drawn one, so it reveals nothing. Accounting by subsampling holds only while
+    nobody knows which rows a step drew: without ``seed`` a secret one is drawn; a given seed is for tests.
     """
+    seed = secrets.randbits(62) if seed is None else seed
     noise = noise or SystemNoise()
     weights = np.zeros((width, classes))
     batch = max(1.0, rate * df.count())

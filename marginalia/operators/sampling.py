@@ -48,7 +48,10 @@ def shuffled_batches(df: DataFrame, key: str, size: int, seed: int = 42) -> Data
 
 
 def poisson_batches(df: DataFrame, key: str, steps: int, rate: float, seed: int = 42) -> DataFrame:
-    """(step, columns): each row enters each step's batch independently with probability ``rate``."""
+    """(step, columns): each row enters each step's batch independently with probability ``rate``.
+
+    For private training pass a secret ``seed``: whoever knows seed and keys knows the batches.
+    """
     each = df.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))))
     return each.filter(keyed_uniform(F.col(key), F.col("step"), seed=seed) < rate)
 

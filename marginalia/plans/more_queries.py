@@ -11,6 +11,7 @@ from marginalia.functions import services, text
 from marginalia.operators import accounting, aim, divergence, encoding, graphical, marginals, mauve, private_training, rollouts
 from marginalia.plans.catalogue import Catalogue, table
 from marginalia.plans.feature_queries import FEATURES, REAL, even_odd, real_features
+from marginalia.session import bounded_rows
 from marginalia.sources import files
 from marginalia.sources.registry import DATASETS, named_in
 
@@ -237,7 +238,8 @@ def m09(spark, d):
 def m12(spark, d):
     """A model fitted to exact marginals returns them."""
     df = table(spark, d, "orders")
-    domains = {"s": sorted(r[0] for r in df.select("o_orderstatus").distinct().collect()), "p": sorted(r[0] for r in df.select("o_orderpriority").distinct().collect())}
+    values = lambda c: sorted(r[0] for r in bounded_rows(df.select(c).distinct(), 1000, c))
+    domains = {"s": values("o_orderstatus"), "p": values("o_orderpriority")}
     coded = encoding.encode(df.select(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")), {c: encoding.categorical(encoding.Categorical(tuple(v))) for c, v in domains.items()})
     sizes = {c: len(v) for c, v in domains.items()}
     exact = marginals.vectors(coded, [("s", "p")], sizes)[("s", "p")]

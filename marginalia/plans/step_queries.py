@@ -280,7 +280,7 @@ def m27(spark, d):
 def m28(spark, d):
     """Private softmax training on embeddings: the log of its steps."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding"), "label")
-    _, log = private_training.train(e, "vec_id", "embedding", "label", 64, 10, 0.2, 5, 1.0, noise=aim.SeededNoise(0))
+    _, log = private_training.train(e, "vec_id", "embedding", "label", 64, 10, 0.2, 5, 1.0, noise=aim.SeededNoise(0), seed=0)
     return spark.createDataFrame(log, "step int, examples int, loss double")
 
 

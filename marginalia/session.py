@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "marginalia", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session with adaptive execution; on a cluster the submit settings win over these."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+    """A session with adaptive execution; what spark-submit, its arguments or the defaults file set wins over these.
+
+    Without a master from there it is local, with ``cores`` and ``shuffle_partitions``; on a cluster the number of
+    shuffle partitions is left to its settings.
+    """
+    os.environ.setdefault("SPARK_DRIVER_MEMORY", "8g")  # weaker than any other setting of it
+    SparkContext._ensure_initialized()
+    known = SparkConf()
+    builder = SparkSession.builder
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or known.get("spark.master", "local[*]") != "local[*]"
+    wanted = {"spark.app.name": app, "spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
+    if not submitted:
+        builder = builder.master(f"local[{cores}]")
+    if not submitted or known.get("spark.master", "").startswith("local"):
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for name, value in wanted.items():
+        if not known.contains(name) or not submitted and name in ("spark.app.name", "spark.ui.showConsoleProgress"):
+            builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -45,24 +56,43 @@ _WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: a lineage cut that outlives executors."""
+    """Write ``df`` as a table in the shared folder and read it back: a lineage cut that outlives executors.
+
+    The table goes with ``written_tables`` or ``drop_written``, at the latest when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> int:
     """Delete the tables this driver wrote by ``materialize``, once no result that reads them is needed; how many."""
-    jvm = spark.sparkContext._jvm
     n = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    while len(_WRITTEN) > since:
+        where, system = _file_system(spark, _WRITTEN.pop())
+        n += bool(system.delete(where, True))
     return n
 
 
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Run and store a query inside: the tables it wrote on the way are deleted at the end."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_written(spark, since)
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect metadata of a stated bound; more rows than that are an error, not a cut."""
     rows = df.limit(max_rows + 1).collect()
@@ -71,6 +101,8 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` rows; beyond that the planner chooses."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after counting at most so many rows and bytes; beyond that the planner chooses."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(8 * len(df.columns)))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
