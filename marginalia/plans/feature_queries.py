@@ -352,12 +352,12 @@ def j02(spark, d):
     return real_features(spark, d).select("record_id", "model_organism").join(codes, "model_organism", "left").select("record_id", F.coalesce("option_idx", F.lit(0)).alias("code"))
 
 
-@query("J04_column_pairs", f"WITH c AS (SELECT unnest([{', '.join(repr(f) for f in FEATURES)}]) AS c) SELECT a.c AS c1, b.c AS c2 FROM c a, c b WHERE a.c < b.c")
+@query("J04_column_pairs", "SELECT a.feature_name AS c1, b.feature_name AS c2, count(*) AS cells FROM feature_domain a, feature_domain b WHERE a.feature_name < b.feature_name GROUP BY 1, 2")
 def j04(spark, d):
-    """Pairs of columns."""
-    columns = F.array(*[F.lit(f) for f in sorted(FEATURES)])
-    pairs = F.flatten(F.transform(columns, lambda a, i: F.transform(F.slice(columns, i + 2, len(FEATURES)), lambda b: F.struct(a.alias("c1"), b.alias("c2")))))
-    return spark.range(1).select(F.explode(pairs).alias("p")).select("p.*")
+    """Pairs of the columns that the domain table lists, with their cells."""
+    sizes = table(spark, d, "feature_domain").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"))  # metadata: a row for each column
+    a, b = sizes.select(F.col("feature_name").alias("c1"), F.col("n").alias("n1")), sizes.select(F.col("feature_name").alias("c2"), F.col("n").alias("n2"))
+    return a.join(F.broadcast(b), F.col("c1") < F.col("c2")).select("c1", "c2", (F.col("n1") * F.col("n2")).alias("cells"))
 
 
 @query("J06_fuzzy_field_match", "SELECT feature_name, column_name FROM (SELECT f.feature_name, c AS column_name, row_number() OVER (PARTITION BY f.feature_name ORDER BY c) AS k FROM (SELECT DISTINCT feature_name FROM feature_domain) f, (SELECT unnest(['Model Organism Name', 'goal', 'Sample Size', 'scale']) AS c) WHERE contains(replace(lower(f.feature_name), '_', ' '), replace(lower(c), '_', ' ')) OR contains(replace(lower(c), '_', ' '), replace(lower(f.feature_name), '_', ' '))) WHERE k = 1")

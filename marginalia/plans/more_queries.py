@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from marginalia.functions import services, text
@@ -13,7 +14,7 @@ from marginalia.plans.catalogue import Catalogue, table
 from marginalia.plans.feature_queries import FEATURES, REAL, even_odd, real_features
 from marginalia.session import bounded_rows
 from marginalia.sources import files
-from marginalia.sources.registry import DATASETS, named_in
+from marginalia.sources.registry import named_in
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -87,13 +88,20 @@ def j03(spark, d):
     return table(spark, d, "region").select("r_name").crossJoin(table(spark, d, "part").select(F.col("p_size").alias("size")).distinct())
 
 
-_LIST = ", ".join(repr(f) for f in sorted(FEATURES))
+_SIZES = "s AS (SELECT feature_name AS f, count(*) AS n FROM feature_domain GROUP BY 1)"
 
 
-@query("J05_column_triples", f"WITH c AS (SELECT unnest([{_LIST}]) AS c) SELECT x.c AS c1, y.c AS c2, z.c AS c3 FROM c x, c y, c z WHERE x.c < y.c AND y.c < z.c")
+def feature_sizes(spark, d) -> dict[str, int]:
+    """Options of each feature, in the order of their names."""
+    by = table(spark, d, "feature_domain").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"))
+    return {r.feature_name: r.n for r in sorted(bounded_rows(by, 1000, "features"))}
+
+
+@query("J05_column_triples", f"WITH {_SIZES} SELECT x.f AS c1, y.f AS c2, z.f AS c3, x.n * y.n * z.n AS cells FROM s x, s y, s z WHERE x.f < y.f AND y.f < z.f")
 def j05(spark, d):
-    """Triples of columns: metadata, made on the driver."""
-    return spark.createDataFrame(list(combinations(sorted(FEATURES), 3)), "c1 string, c2 string, c3 string")
+    """Triples of the columns that the domain table lists, with their cells: metadata, made on the driver."""
+    sizes = feature_sizes(spark, d)
+    return spark.createDataFrame([(a, b, c, sizes[a] * sizes[b] * sizes[c]) for a, b, c in combinations(sizes, 3)], "c1 string, c2 string, c3 string, cells long")
 
 
 @query("J07_prompt_and_text", "SELECT DISTINCT gen_id, input_text AS prompt, generated_text AS generation FROM generated_conditional")
@@ -102,7 +110,7 @@ def j07(spark, d):
     return table(spark, d, "generated_conditional").dropDuplicates(["gen_id"]).select("gen_id", F.col("input_text").alias("prompt"), F.col("generated_text").alias("generation"))
 
 
-@query("J09_nearest_centroid")
+@query("J09_nearest_centroid", "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), f AS (SELECT e.vec_id, c.label, sum((x - m) ** 2) AS far FROM e JOIN c USING (i) GROUP BY ALL) SELECT vec_id, arg_min(label, far) AS nearest FROM f GROUP BY 1")
 def j09(spark, d):
     """The nearest of the label means, of which there are few."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
@@ -113,7 +121,7 @@ def j09(spark, d):
     return rows.select("vec_id", F.array_min(F.transform("cs", lambda z: F.struct(far(z).alias("distance"), z["label"].alias("label"))))["label"].alias("nearest"))
 
 
-@query("J11_common_columns", "SELECT column_name FROM (SELECT unnest(['record_id', 'doc_id', 'annotator_id', 'arrived_at']) AS column_name) WHERE column_name IN ('doc_id', 'arrived_at', 'pair_id', 'source')")
+@query("J11_common_columns", "SELECT column_name FROM (DESCRIBE parsed_features_real) INTERSECT SELECT column_name FROM (DESCRIBE instruct_pairs)")
 def j11(spark, d):
     """Columns that two tables share."""
     both = set(table(spark, d, "parsed_features_real").columns) & set(table(spark, d, "instruct_pairs").columns)
@@ -123,17 +131,8 @@ def j11(spark, d):
 # aggregations and sets
 
 
-_PAIRS = [(a, b) for a, b in combinations(FEATURES[:4], 2)]
-
-
-@query("A02_joint_counts", " UNION ALL ".join(f"SELECT '{a}*{b}' AS metric, {a} AS x, {b} AS y, count(*) AS n FROM {REAL} GROUP BY 2, 3" for a, b in _PAIRS))
+@query("A02_joint_counts", " UNION ALL ".join(f"SELECT '{a}*{b}' AS metric, {a} AS x, {b} AS y, count(*) AS n FROM {REAL} GROUP BY 2, 3" for a, b in combinations(FEATURES, 2)))
 def a02(spark, d):
-    """Joint counts of all pairs of four features, nulls kept, in one scan."""
-    return divergence._pair_entries(real_features(spark, d), "real", FEATURES[:4]).groupBy("metric", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("A02_all_joint_counts", " UNION ALL ".join(f"SELECT '{a}*{b}' AS metric, {a} AS x, {b} AS y, count(*) AS n FROM {REAL} GROUP BY 2, 3" for a, b in combinations(FEATURES, 2)))
-def a02_all(spark, d):
     """Joint counts of all pairs of the eight features, nulls kept, in one scan."""
     return divergence._pair_entries(real_features(spark, d), "real", FEATURES).groupBy("metric", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -158,10 +157,10 @@ def a21(spark, d):
     return table(spark, d, "embeddings").select("vec_id", private_training.gradient_norm(F.col("embedding")).alias("norm"))
 
 
-@query("U03_downward_closure", "SELECT unnest(['a', 'b', 'c', 'a,b', 'a,c']) AS clique")
+@query("U03_downward_closure", f"WITH {_SIZES} SELECT f AS clique FROM s UNION ALL SELECT x.f || ',' || y.f FROM s x, s y WHERE x.f < y.f")
 def u03(spark, d):
-    """Subsets of two cliques."""
-    return spark.createDataFrame([(",".join(q),) for q in marginals.closure([("a", "b"), ("a", "c")])], "clique string")
+    """Subsets of all pairs of the columns that the domain table lists."""
+    return spark.createDataFrame([(",".join(sorted(q)),) for q in marginals.closure(combinations(feature_sizes(spark, d), 2))], "clique string")
 
 
 @query("U04_union_with_side", "SELECT CASE vec_id % 2 WHEN 0 THEN 'p' ELSE 'q' END AS side, count(*) AS rows FROM embeddings GROUP BY 1")
@@ -180,10 +179,12 @@ def u07(spark, d):
 # functions
 
 
-@query("F08_split_outside_stars")
+@query("F08_split_outside_stars", "SELECT doc_id, '*' || source || '|b*~(' || split || '|' || doc_id || ')~' || doc_id AS options FROM documents WHERE source IS NOT NULL AND split IS NOT NULL")
 def f08(spark, d):
     """Options between bars outside parentheses and stars."""
-    return spark.createDataFrame([("*In Vitro* Assays (e.g.|ELISA|Western Blot)|Other",), ("*a|b*|c",)], "t string").select("t", text.split_nested("t").alias("options"))
+    rows = table(spark, d, "documents").filter("source IS NOT NULL AND split IS NOT NULL")
+    joined = F.concat(F.lit("*"), "source", F.lit("|b*|("), "split", F.lit("|"), "doc_id", F.lit(")|"), "doc_id")
+    return rows.select("doc_id", F.array_join(text.split_nested(joined), "~").alias("options"))
 
 
 @query("F12_joined_options", "SELECT feature_name, string_agg(option_text, '|' ORDER BY option_idx) AS options FROM feature_domain GROUP BY 1")
@@ -193,12 +194,6 @@ def f12(spark, d):
     return by.select("feature_name", F.array_join(F.transform("o", lambda x: x["option_text"]), "|").alias("options"))
 
 
-@query("F18_templates_by_name")
-def f18(spark, d):
-    """Templates of the named datasets."""
-    return spark.createDataFrame([(n, r.template) for n, r in DATASETS.items()], "name string, template string")
-
-
 @query("F27_array_padding", "SELECT l_orderkey, array_to_string(list_concat(list_slice(n, 1, 3), list_transform(range(greatest(0, 5 - least(3, len(n)))), lambda x: 0)), ',') AS padded FROM (SELECT l_orderkey, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1)")
 def f27(spark, d):
     """Arrays cut and padded."""
@@ -206,32 +201,38 @@ def f27(spark, d):
     return by.select("l_orderkey", F.array_join(F.concat("n", F.array_repeat(F.lit(0).cast("bigint"), 5 - F.size("n"))).cast("array<string>"), ",").alias("padded"))
 
 
-@query("D04_bin_middles", "SELECT unnest([15e0, 25e0, 35e0]) AS middle, unnest([0, 1, 2])::INT AS code")
+@query("D04_bin_middles", "SELECT ceil(l_quantity / 10) * 10 - 5 AS middle, count(*) AS rows FROM lineitem GROUP BY 1")
 def d04(spark, d):
-    """Codes back to the middles of their bins."""
-    e = encoding.bins(encoding.Numerical(11, 40, kind="int"), [20, 30])
-    return spark.range(3).select(F.col("id").cast("int").alias("code"), e.inverse(F.col("id")).alias("middle"))
+    """Quantities in bins, and back to the middles of their bins."""
+    e = encoding.bins(encoding.Numerical(1, 50, kind="int"), [10, 20, 30, 40])
+    coded = table(spark, d, "lineitem").select(e.forward(F.col("l_quantity")).alias("code"))
+    return coded.groupBy("code").agg(F.count(F.lit(1)).alias("rows")).select(e.inverse(F.col("code")).cast("double").alias("middle"), "rows")
 
 
-@query("D08_open_ends", "SELECT 9e0 AS whole, true AS below")
+@query("D08_open_ends", "SELECT p_brand, (min(p_size) - 1)::DOUBLE AS whole, true AS below FROM part GROUP BY 1")
 def d08(spark, d):
-    """The largest number below a range, of whole and other numbers."""
-    return spark.createDataFrame([(float(encoding.Numerical(10, 20, kind="int").open_low), bool(encoding.Numerical(10, 20).open_low < 10))], "whole double, below boolean")
+    """The largest number below the range of each brand, of whole and other numbers."""
+    by = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_size").alias("low"), F.max("p_size").alias("high"))
+    ends = [(r.p_brand, float(encoding.Numerical(r.low, r.high, kind="int").open_low), bool(r.low - 1e-9 < encoding.Numerical(r.low, r.high).open_low < r.low)) for r in bounded_rows(by, 10_000, "brands")]
+    return spark.createDataFrame(ends, "p_brand string, whole double, below boolean")
 
 
 # mechanisms and models
 
 
-@query("M08_default_workload", "SELECT count(*) AS cliques FROM (SELECT unnest(range(56)))")
+@query("M08_default_workload", f"WITH {_SIZES} SELECT x.f || ',' || y.f || ',' || z.f AS clique, 1e0 AS weight FROM s x, s y, s z WHERE x.f < y.f AND y.f < z.f AND x.n * y.n * z.n <= 2000")
 def m08(spark, d):
-    """Three-way cliques of eight features."""
-    return spark.createDataFrame([(len(marginals.default_workload({f: 20 for f in FEATURES})),)], "cliques long")
+    """Three-way cliques of the eight features, of at most 2,000 cells."""
+    workload = marginals.default_workload(feature_sizes(spark, d), limit=2000)
+    return spark.createDataFrame([(",".join(q), w) for q, w in workload.items()], "clique string, weight double")
 
 
-@query("M09_model_size", "SELECT 200 * 8 / 1048576e0 AS megabytes")
+@query("M09_model_size", f"WITH {_SIZES} SELECT x.f AS a, y.f AS b, z.f AS c, (x.n * y.n + y.n * z.n) * 8 / 1048576e0 AS megabytes FROM s x, s y, s z WHERE x.f < y.f AND y.f < z.f")
 def m09(spark, d):
-    """Size of the junction tree of two cliques."""
-    return spark.createDataFrame([(float(graphical.model_megabytes({"a": 10, "b": 10, "c": 10}, [("a", "b"), ("a", "c")])),)], "megabytes double")
+    """Size of the junction tree of two cliques that share a column, for all triples of features."""
+    sizes = feature_sizes(spark, d)
+    size = lambda a, b, c: float(graphical.model_megabytes({k: sizes[k] for k in (a, b, c)}, [(a, b), (b, c)]))
+    return spark.createDataFrame([(*q, size(*q)) for q in combinations(sizes, 3)], "a string, b string, c string, megabytes double")
 
 
 @query("M12_estimated_marginals", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*)::DOUBLE AS n FROM orders GROUP BY ALL")
@@ -300,10 +301,10 @@ def e08(spark, d):
     return bins.groupBy("side").agg(F.count_distinct("bin").alias("bins"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("E14_language_model")
+@query("E14_language_model", r"WITH w AS (SELECT split = 'train' AS train, doc_id, string_split_regex(lower(text), '[\t-\r ]+') AS w FROM documents WHERE text IS NOT NULL AND split IS NOT NULL), p AS (SELECT train, unnest(list_slice(w, 1, len(w) - 1)) AS a, unnest(list_slice(w, 2, len(w))) AS b FROM w WHERE len(w) > 1), c AS (SELECT train, a, b, count(*) AS n FROM p GROUP BY ALL), g AS (SELECT a, max(struct_pack(n := n, b := b)).b AS guess FROM c WHERE train GROUP BY 1) SELECT sum(CASE WHEN guess = b THEN n ELSE 0 END) / sum(n)::DOUBLE AS accuracy FROM c LEFT JOIN g USING (a) WHERE NOT train")
 def e14(spark, d):
     """Next-token accuracy of word pairs: the likeliest follower of each word, counted on training texts."""
-    rows = table(spark, d, "documents").filter("text is not null").select(F.expr("split = 'train'").alias("train"), F.split(F.lower("text"), r"\s+").alias("w"))
+    rows = table(spark, d, "documents").filter("text is not null and split is not null").select(F.expr("split = 'train'").alias("train"), F.split(F.lower("text"), r"[\t-\r ]+").alias("w"))
     pairs = rows.select("train", F.explode(F.arrays_zip(F.slice("w", 1, 1 << 30).alias("a"), F.slice("w", 2, 1 << 30).alias("b"))).alias("z")).select("train", F.col("z.a").alias("a"), F.col("z.b").alias("b")).filter("b is not null")
     counts = pairs.groupBy("train", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     best = counts.filter("train").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("guess"))
@@ -314,10 +315,14 @@ def e14(spark, d):
 # sources
 
 
-@query("S03_reader_dispatch")
+@query("S03_reader_dispatch", "SELECT 'csv' AS kind, count(*) AS rows FROM nation UNION ALL SELECT 'json', count(*) FROM region UNION ALL SELECT 'orc', count(*) FROM supplier UNION ALL SELECT 'parquet', count(*) FROM part")
 def s03(spark, d):
-    """Readers by extension over the test tables."""
-    return spark.createDataFrame([(n, files.read_table(spark, f"{d}/{n}.parquet").count()) for n in ("nation", "region")], "name string, rows long")
+    """Readers by extension over tables written in four kinds."""
+    from marginalia.plans.text_queries import _there_and_back
+
+    made = {"csv": "nation", "jsonl": "region", "orc": "supplier", "parquet": "part"}
+    counts = [(kind.removesuffix("l"), _there_and_back(spark, table(spark, d, name), kind).count()) for kind, name in made.items()]
+    return spark.createDataFrame(counts, "kind string, rows long")
 
 
 @query("S04_named_dataset", "SELECT 'Write a text that fits these features: ' || coalesce(category, '') AS instruction, text AS answer FROM documents WHERE split = 'train'")
@@ -327,10 +332,12 @@ def s04(spark, d):
     return files.load_dataset(spark, "biorxiv-category-condgen", {"train": df.filter("split = 'train'")}, "train")
 
 
-@query("P29_dispatch_by_path", "SELECT 'enron-condgen-topic' AS name")
+@query("P29_dispatch_by_path", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'enron-condgen-topic' WHEN 1 THEN 'biorxiv' END AS name FROM documents")
 def p29(spark, d):
-    """The dataset that a path names."""
-    return spark.createDataFrame([(named_in("/data/enron-condgen-topic/train.csv"),)], "name string")
+    """The dataset that each path names, the longest name first."""
+    kind = F.col("doc_id") % 3
+    path = F.concat(F.lit("/data/"), F.when(kind == 0, "enron-condgen-topic").when(kind == 1, "biorxiv_v2").otherwise("other"), F.lit("/"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", named_in(path).alias("name"))
 
 
 @query("S08_dense_matrix", "SELECT count(*) AS rows, min(len(embedding)) AS width FROM embeddings")
@@ -339,11 +346,19 @@ def s08(spark, d):
     return table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("embedding")).cast("bigint").alias("width"))
 
 
-@query("O07_filtered_sampling")
+_PROBS = "WITH z AS (SELECT vec_id, unnest(range(8)) AS token, unnest(embedding[1:8])::DOUBLE / 0.7 AS z FROM embeddings), q AS (SELECT *, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS q, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, token) AS k FROM z WINDOW w AS (PARTITION BY vec_id)), b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)"
+
+
+@query("O07_filtered_sampling", f"{_PROBS} SELECT vec_id, token::INT AS token, round(q / sum(q) OVER (PARTITION BY vec_id), 4) AS share FROM b WHERE k <= 3 AND before < 0.4")
 def o07(spark, d):
-    """Probabilities after temperature, top-k and nucleus."""
-    p = services.top_filtered(np.array([3.0, 2.0, 1.0, 0.0]), 3, 0.9, 0.7)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(p)], "token int, share double")
+    """Tokens left after temperature, top-k and nucleus, with their shares, for the logits of every row."""
+
+    @F.pandas_udf("array<double>")
+    def kept(logits: pd.Series) -> pd.Series:
+        return logits.map(lambda z: services.top_filtered(np.array(z, float), 3, 0.4, 0.7))
+
+    rows = table(spark, d, "embeddings").select("vec_id", kept(F.slice("embedding", 1, 8)).alias("p"))
+    return rows.select("vec_id", F.posexplode("p").alias("token", "share")).filter("share > 0").select("vec_id", "token", F.round("share", 4).alias("share"))
 
 
 @query("X15_checked_rollouts", "SELECT count(*) AS rows FROM embeddings")

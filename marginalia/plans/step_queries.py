@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from marginalia.functions import text as text_functions
 from marginalia.operators import accounting, aim, classify, marginals, mauve, private_training, rollouts, sampling
 from marginalia.operators.encoding import Categorical, Numerical
 from marginalia.plans.catalogue import Catalogue, table
+from marginalia.session import bounded_rows
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -88,7 +91,10 @@ def w04(spark, d):
     return sequences(spark, d).select("l_orderkey", rollouts.next_token_hits(F.col("p"), F.col("y")).cast("bigint").alias("hits"))
 
 
-@query("A17_rollout_statistics")
+_ROLLS = "e AS (SELECT vec_id, label::DOUBLE AS score, least(16, label + 4) AS n, embedding AS v FROM embeddings), l AS (SELECT n, score, list_sum(list_transform(v[1:n], lambda x: x::DOUBLE)) AS kl, -list_sum(list_transform(v[17:16 + n], lambda x: x::DOUBLE)) / n AS h FROM e), t AS (SELECT unnest(v[33:32 + n])::DOUBLE AS a, unnest(v[49:48 + n])::DOUBLE AS r FROM e)"
+
+
+@query("A17_rollout_statistics", f"WITH {_ROLLS} SELECT avg(kl) AS kl, avg(h) AS entropy, avg(score) AS score_mean, stddev_samp(score) AS score_std, avg(n) AS length_mean, stddev_samp(n) AS length_std, 1 - (SELECT var_pop(r - a) / var_pop(r) FROM t) AS explained_variance FROM l")
 def a17(spark, d):
     """Statistics of a batch of rollouts."""
     e = table(spark, d, "embeddings")
@@ -122,22 +128,23 @@ def o02(spark, d):
     return table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey").orderBy("o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query("A23_quarter_epochs", "SELECT DISTINCT least(x, 1119)::INT AS step FROM (SELECT unnest([floor(1120 * 0.25), floor(1120 * 0.5), floor(1120 * 0.75), 1119, 1119]) AS x)")
+@query("A23_quarter_epochs", "SELECT DISTINCT o_orderpriority, least(x, n - 1)::INT AS step FROM (SELECT o_orderpriority, n, unnest([floor(n * 0.25e0), floor(n * 0.5e0), floor(n * 0.75e0), n - 1]) AS x FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1))")
 def a23(spark, d):
-    """Distinct checkpoint steps."""
-    points = F.array_distinct(F.array(*[F.floor(F.lit(1120 * s)).cast("int") for s in (0.25, 0.5, 0.75)], F.lit(1119), F.lit(1119)))
-    return spark.range(1).select(F.explode(points).alias("step"))
+    """Distinct checkpoint steps at the quarters of each group."""
+    n = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    points = F.array_distinct(F.array(*[F.least(F.floor(F.col("n") * s), F.col("n") - 1).cast("int") for s in (0.25, 0.5, 0.75, 1.0)]))
+    return n.select("o_orderpriority", F.explode(points).alias("step"))
 
 
 # embeddings
 
 
-@query("E07_normalised_rows", "SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) > 0 AS filled, 1e0 AS length FROM embeddings")
+@query("E07_normalised_rows", "WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS l2, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS l1 FROM embeddings) SELECT vec_id, round(embedding[1] / l2, 5) AS first, round(embedding[-1] / l2, 5) AS last, round(embedding[1] / l1, 6) AS first_l1 FROM n")
 def e07(spark, d):
-    """Rows of length 1."""
+    """Entries of rows of length 1, in both norms."""
     unit = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    n = mauve.normalised(unit, "v")
-    return unit.select("vec_id", (rollouts.total(F.transform("v", F.abs)) > 0).alias("filled"), F.round(F.sqrt(rollouts.dot(n, n)), 9).alias("length"))
+    l2, l1 = mauve.normalised(unit, "v"), mauve.normalised(unit, "v", "l1")
+    return unit.select("vec_id", F.round(l2[0], 5).alias("first"), F.round(F.element_at(l2, -1), 5).alias("last"), F.round(l1[0], 6).alias("first_l1"))
 
 
 def label_bins(spark, d) -> DataFrame:
@@ -239,11 +246,16 @@ def m24(spark, d):
     return accounting.scheme_grid(spark, 28_846, 4.0, 3.38e-6, [1.0, 2.0], [(1024, 200)], [(2048, 400), (2048, 800)])
 
 
-@query("M01_noisy_marginals")
+_MARGINALS = "c AS (SELECT 's' AS clique, o_orderstatus AS cell, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'p', o_orderpriority, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 's,p', o_orderstatus || ',' || o_orderpriority, count(*) FROM orders GROUP BY 2)"
+_UNIFORM = "((('0x' || substr(md5(concat_ws('|', clique || ',' || cell{more}, '1')), 1, 12))::BIGINT + 0.5e0) / 281474976710656)"
+
+
+@query("M01_noisy_marginals", f"WITH {_MARGINALS}, d AS (SELECT *, 2 * sqrt(6e0) / CASE clique WHEN 's,p' THEN 2 ELSE 1 END AS stddev FROM c) SELECT clique, cell, n, stddev, round(n + stddev * sqrt(-2 * ln({_UNIFORM.format(more='')})) * cos(2 * pi() * {_UNIFORM.format(more=", 'v'")}), 4) AS noisy FROM d")
 def m01(spark, d):
     """Marginals under the Gaussian mechanism, with keyed noise."""
     counts = marginals.marginal_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")), [("s",), ("p",), ("s", "p")])
-    return marginals.measure(counts, 2.0, {"s": 1.0, "p": 1.0, "s,p": 2.0}, seed=1)
+    noisy = marginals.measure(counts, 2.0, {"s": 1.0, "p": 1.0, "s,p": 2.0}, seed=1)
+    return noisy.select("clique", F.array_join("cell", ",").alias("cell"), "n", "stddev", F.round("noisy", 4).alias("noisy"))
 
 
 @query("M03_rare_cells", "SELECT p_brand AS brand, count(*) AS n, count(*) < 3 * 35e0 AS rare FROM part GROUP BY 1")
@@ -254,17 +266,22 @@ def m03(spark, d):
     return rare.select(F.element_at("cell", 1).alias("brand"), "n", "rare")
 
 
-@query("M02_exponential_choice")
+@query("M02_exponential_choice", "WITH s AS (SELECT o_orderpriority, count(*)::DOUBLE AS score FROM orders GROUP BY 1) SELECT arg_max(o_orderpriority, g) AS o_orderpriority, arg_max(score, g) AS score FROM (SELECT *, 0.5 * score - ln(-ln((('0x' || substr(md5(concat_ws('|', o_orderpriority, '3')), 1, 12))::BIGINT + 0.5e0) / 281474976710656)) AS g FROM s)")
 def m02(spark, d):
     """A choice by the exponential mechanism, with keyed noise."""
     scores = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return marginals.exponential_choice(scores, "o_orderpriority", "score", 1.0, 1.0, seed=3)
 
 
-@query("M07_workload_weights", "SELECT 'a' AS clique, 3e0 AS weight UNION ALL SELECT 'b', 1 UNION ALL SELECT 'c', 2 UNION ALL SELECT 'a,b', 4 UNION ALL SELECT 'a,c', 5")
+_PAIRED = "s AS (SELECT feature_name AS f, count(*) AS n FROM feature_domain GROUP BY 1), w AS (SELECT x.f AS a, y.f AS b, (x.n * y.n)::DOUBLE AS weight FROM s x, s y WHERE x.f < y.f), q AS (SELECT f AS a, NULL AS b, f AS clique FROM s UNION ALL SELECT a, b, a || ',' || b FROM w)"
+
+
+@query("M07_workload_weights", f"WITH {_PAIRED} SELECT clique, sum(weight * ((q.a IN (w.a, w.b))::INT + coalesce(q.b IN (w.a, w.b), false)::INT)) AS weight FROM q, w GROUP BY 1")
 def m07(spark, d):
-    """Weights of the downward closure of a workload."""
-    weights = marginals.workload_weights({("a", "b"): 1.0, ("a", "c"): 2.0})
+    """Weights of the downward closure of all pairs of features, a pair weighted by its cells."""
+    by = table(spark, d, "feature_domain").groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r.feature_name: r.n for r in sorted(bounded_rows(by, 1000, "features"))}
+    weights = marginals.workload_weights({(a, b): float(sizes[a] * sizes[b]) for a, b in combinations(sizes, 2)})
     return spark.createDataFrame([(",".join(q), float(w)) for q, w in weights.items()], "clique string, weight double")
 
 
@@ -292,18 +309,20 @@ def m15(spark, d):
     return aim.synthesize(df, domains, rho=0.18, noise=aim.SeededNoise(7), options=aim.Options(iterations=60, numeric_bins=8, max_rounds=8))
 
 
-@query("K12_scheme_names", "SELECT 'schemes_aim-dpsgd_n28846_eps4_delta3.38e-06.csv' AS name")
+@query("K12_scheme_names", "SELECT o_orderpriority, 'schemes_aim-dpsgd_n' || count(*) || '_eps4_delta3.38e-06.csv' AS name FROM orders GROUP BY 1")
 def k12(spark, d):
-    """Names of scheme tables."""
+    """Names of the scheme tables of groups of rows."""
     from marginalia.sources.files import scheme_file
 
-    return spark.createDataFrame([(scheme_file(28_846, 4.0, 3.38e-6, "aim-dpsgd"),)], "name string")
+    by = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(r.o_orderpriority, scheme_file(r.n, 4.0, 3.38e-6, "aim-dpsgd")) for r in bounded_rows(by, 1000, "groups")], "o_orderpriority string, name string")
 
 
-@query("X17_training_plan", "SELECT (20 / (2048e0 / 28846))::BIGINT - CASE WHEN (20 / (2048e0 / 28846))::BIGINT > 20 / (2048e0 / 28846) THEN 1 ELSE 0 END AS steps, 2048 // (4 * 2) AS accumulation")
+@query("X17_training_plan", "SELECT o_orderpriority, floor(20 / (64e0 / count(*)))::BIGINT AS steps, greatest(1, count(*) // (4 * 2)) AS accumulation FROM orders GROUP BY 1")
 def x17(spark, d):
-    """Steps and gradient accumulation of a run."""
-    return spark.createDataFrame([(accounting.training_steps(28_846, 2048, 20), accounting.accumulation(2048, 4, 2))], "steps long, accumulation long")
+    """Steps and gradient accumulation of a run on each group."""
+    by = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(r.o_orderpriority, accounting.training_steps(r.n, 64, 20), accounting.accumulation(r.n, 4, 2)) for r in bounded_rows(by, 1000, "groups")], "o_orderpriority string, steps long, accumulation long")
 
 
 @query("F28_map_with_default", "SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END::INT AS code FROM events")

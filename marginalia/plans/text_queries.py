@@ -14,7 +14,7 @@ from marginalia.operators import tokenised
 from marginalia.plans.catalogue import Catalogue, table
 from marginalia.session import work_dir
 from marginalia.sources import files
-from marginalia.sources.registry import DATASETS, Recipe
+from marginalia.sources.registry import Recipe
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
@@ -162,11 +162,10 @@ def f25(spark, d):
     return spark.range(1).select(F.posexplode(text.linspace(1e-6, 1 - 1e-6, 25)).alias("i", "x"))
 
 
-@query("F22_row_to_json", "SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"note\":null}' AS generated_text FROM nation")
+@query("F22_row_to_json", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"note\":null}' AS generated_text FROM nation")
 def f22(spark, d):
     """Rows as JSON texts with their nulls."""
-    df = table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note"))
-    return df.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name", "note"), {"ignoreNullFields": "false"}).alias("generated_text"))
+    return files.record_json(table(spark, d, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note")))
 
 
 @query("F29_structure_score", "SELECT event_id, round(1 + 0.1 * (list_contains(json_keys(props), 'k')::INT - len(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'title'))) - (2 - list_contains(json_keys(props), 'k')::INT - list_contains(json_keys(props), 'title')::INT)), 4) AS score FROM events")
@@ -229,12 +228,6 @@ def p21(spark, d):
     return table(spark, d, "documents").dropna(subset=["split"]).groupBy("split", prompts.split_of(F.col("split")).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("P20_dataset_registry")
-def p20(spark, d):
-    """The registry of named datasets."""
-    return spark.createDataFrame([(n, r.format, r.kind, r.answer, r.rows) for n, r in DATASETS.items()], "name string, format string, kind string, answer string, rows int")
-
-
 # token rows
 
 
@@ -251,7 +244,12 @@ def a12(spark, d):
     return rows.select("pair_id", F.size(F.filter("labels", lambda x: x != tokenised.IGNORED)).cast("bigint").alias("counted"))
 
 
-@query("X06_padded_batches")
+def _tokens_sql(column: str, most: int) -> str:
+    return f"least({most}, len(regexp_extract_all(coalesce({column}, ''), '{tokenised.PATTERN}')))"
+
+
+
+@query("X06_padded_batches", f"WITH n AS (SELECT pair_id, {_tokens_sql('instruction', 300)} + {_tokens_sql('answer', 512)} + 1 AS n FROM (SELECT DISTINCT pair_id, instruction, answer FROM instruct_pairs)) SELECT pair_id // 32 AS batch, count(*) AS rows, max(n)::INT AS width, max(n)::INT AS narrowest FROM n GROUP BY 1")
 def x06(spark, d):
     """Batches padded on the left to their longest row."""
     rows = tokenised.training_rows(table(spark, d, "instruct_pairs").dropDuplicates(["pair_id"]).select("pair_id", "instruction", "answer"), "instruction", "answer")
@@ -305,11 +303,11 @@ def _there_and_back(spark, df: DataFrame, kind: str) -> DataFrame:
     return files.read_table(spark, path)
 
 
-@query("S01_csv_round_trip", "SELECT doc_id, lang, title FROM documents")
+@query("S01_csv_round_trip", "SELECT doc_id, lang, title, text FROM documents")
 def s01(spark, d):
-    """Written as CSV and read again: quotes, separators and line breaks survive."""
-    df = table(spark, d, "documents").select("doc_id", "lang", "title")
-    return _there_and_back(spark, df, "csv").select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "title")
+    """Written as CSV and read again: quotes, separators, line breaks and whole texts survive."""
+    df = table(spark, d, "documents").select("doc_id", "lang", "title", "text")
+    return _there_and_back(spark, df, "csv").select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "title", "text")
 
 
 @query("S02_jsonl_round_trip", "SELECT pair_id, instruction, answer FROM instruct_pairs")
@@ -318,10 +316,12 @@ def s02(spark, d):
     return _there_and_back(spark, table(spark, d, "instruct_pairs").select("pair_id", "instruction", "answer"), "jsonl").select("pair_id", "instruction", "answer")
 
 
-@query("S06_columnar_round_trip", "SELECT vec_id, label FROM embeddings")
+@query("S06_columnar_round_trip", "SELECT vec_id, label, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 def s06(spark, d):
-    """Written in columns and read again."""
-    return _there_and_back(spark, table(spark, d, "embeddings").select("vec_id", "label"), "orc")
+    """Arrays written in columns and read again."""
+    back = _there_and_back(spark, table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "orc")
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return back.select("vec_id", "label", F.size("embedding").alias("width"), F.round(total, 4).alias("total"))
 
 
 @query("S10_mixed_splits", "SELECT 'train' AS split, count(*) AS rows, count(lang) AS langs FROM documents WHERE split = 'train' UNION ALL SELECT 'validation', count(*), 0 FROM documents WHERE split <> 'train'")

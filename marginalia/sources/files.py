@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.prompts import pairs, split_of
-from marginalia.functions.text import checkpoint_number
+from marginalia.functions.text import canonical_json, checkpoint_number
+from marginalia.session import bounded_rows
 from marginalia.sources.registry import recipe
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+#: The null value stands for cells without quotes only; quoted empty ones stay empty.
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\ue000null\ue000"}
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = False, **options) -> DataFrame:
-    """Header, quotes doubled inside quotes, line breaks inside quotes. Types are text unless asked for."""
+    """Header, quotes doubled inside quotes, line breaks inside quotes; missing cells are null, quoted empty ones empty. Types are text unless asked for."""
     return spark.read.options(**_CSV, inferSchema=infer, **options).csv(path)
 
 
@@ -33,9 +35,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return readers[kind](spark, path)
 
 
-def read_whole(spark: SparkSession, path: str) -> str:
-    """One small text (a prompt, a schema) as a whole."""
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).limit(2).collect())
+def read_whole(spark: SparkSession, path: str, most: int = 1000) -> str:
+    """A small text (a prompt, a schema) as a whole; of a folder all files, at most ``most``, in the order of their names."""
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+    return "\n".join(r.value.removesuffix("\n") for r in sorted(bounded_rows(files, most, f"files of {path}")))
+
+
+def anchor_pairs(df: DataFrame, repeats: int = 1, prompt: str = "prompt", completion: str = "completion") -> DataFrame:
+    """(instruction, answer, repeat) of anchor pairs that go into training ``repeats`` times, in one split; pairs without either part are left out."""
+    rows = df.select(F.col(prompt).alias("instruction"), F.col(completion).alias("answer")).dropna()
+    return rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) if repeats > 0 else rows.limit(0).withColumn("repeat", F.lit(0))
+
+
+def name_starts(names: DataFrame, prefix: str, name: str = "name") -> DataFrame:
+    """Listed models whose name begins with ``prefix``."""
+    return names.filter(F.startswith(F.col(name), F.lit(prefix)))
 
 
 def read_splits(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
@@ -83,6 +97,69 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
 
+def clean_copy(df: DataFrame, text: str, inferred: str, text_name: str = "abstract", schema_name: str = "schema") -> DataFrame:
+    """Two columns of an annotated table: the text, and its inferred schema as compact JSON, or as it is where it is none."""
+    return df.select(F.col(text).alias(text_name), canonical_json(inferred).alias(schema_name))
+
+
+def write_batches(df: DataFrame, path: str, batch: str) -> int:
+    """Append ``df`` as CSV batch by batch, each batch once however often a run starts again; the number of batches written.
+
+    Batches are folders, so a batch that was broken off is written anew and nothing is read back but names.
+    """
+    spark = df.sparkSession
+    done = set()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(where):
+        done = {s.getPath().getName().partition("=")[2] for s in system.listStatus(where) if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))}
+    todo = [r[0] for r in bounded_rows(df.select(F.col(batch).cast("string")).distinct(), 100_000, "batches") if r[0] not in done]
+    for name in sorted(todo):
+        write_csv(df.filter(F.col(batch).cast("string") == name).drop(batch), f"{path}/{batch}={name}", "overwrite")
+    return len(todo)
+
+
+def write_matrix(df: DataFrame, path: str, key: str, vector: str) -> None:
+    """A dense matrix as rows of arrays in Parquet."""
+    df.select(F.col(key).alias("row"), F.col(vector).cast("array<float>").alias("values")).write.parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(row, values) of a matrix; rows of another length than the first are an error."""
+    rows = spark.read.parquet(path)
+    width = rows.agg(F.min(F.size("values")).alias("_a"), F.max(F.size("values")).alias("_b")).first()
+    if width[0] != width[1]:
+        raise ValueError(f"rows of {width[0]} to {width[1]} entries are no matrix")
+    return rows
+
+
+def write_metrics(metrics: DataFrame, path: str, epoch: str = "epoch") -> None:
+    """Metrics as JSON lines, a folder for each epoch, so that a new run of an epoch replaces only its own."""
+    spark = metrics.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        metrics.write.mode("overwrite").partitionBy(epoch).json(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def save_checkpoint(model, path: str, number: int) -> str:
+    """A fitted model under the number of its checkpoint; where it lies."""
+    where = f"{path}/checkpoint-{number}"
+    model.write().overwrite().save(where)
+    return where
+
+
+def newest_model(spark: SparkSession, path: str, kind: type):
+    """(number, model) of the newest checkpoint in a folder, (-1, None) without any."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+    number = max((int(n.rpartition("-")[2]) for n in names if n.startswith("checkpoint-")), default=-1)
+    return (number, kind.load(f"{path}/checkpoint-{number}")) if number >= 0 else (-1, None)
+
+
 def record_json(df: DataFrame, name: str = "generated_text") -> DataFrame:
     """Each row as one JSON text, nulls kept."""
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
