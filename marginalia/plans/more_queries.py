@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import services, text
 from marginalia.operators import accounting, aim, divergence, encoding, graphical, marginals, mauve, private_training, rollouts
+from marginalia.operators.ingest import domain_options
 from marginalia.plans.catalogue import Catalogue, table
 from marginalia.plans.feature_queries import FEATURES, REAL, even_odd, real_features
 from marginalia.session import bounded_rows
@@ -269,10 +270,10 @@ def m18(spark, d):
 
 @query("M11_adaptive_rounds")
 def m11(spark, d):
-    """The log of the adaptive rounds over coded orders."""
-    df = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority")
-    options = aim.Options(iterations=40, max_rounds=6)
-    aim.synthesize(df, {"o_orderstatus": encoding.Categorical(("F", "O", "P")), "o_orderpriority": encoding.Categorical(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))}, rho=0.5, rows=100, noise=aim.SeededNoise(1), options=options)
+    """The log of the adaptive rounds over the coded features, with a model of 1 MB."""
+    options = aim.Options(iterations=100, model_megabytes=1.0)
+    domains = {c: encoding.Categorical(tuple(v)) for c, v in domain_options(table(spark, d, "feature_domain")).items()}
+    aim.synthesize(real_features(spark, d).drop("record_id"), domains, rho=0.5, rows=100, noise=aim.SeededNoise(1), options=options)
     return spark.createDataFrame([(i, ",".join(q), float(s), float(u), c) for i, (q, s, u, c) in enumerate(options.log)], "round int, clique string, sigma double, used double, candidates int")
 
 

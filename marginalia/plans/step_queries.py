@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as text_functions
 from marginalia.operators import accounting, aim, classify, marginals, mauve, private_training, rollouts, sampling
-from marginalia.operators.encoding import Categorical, Numerical
+from marginalia.operators.encoding import Categorical
+from marginalia.operators.ingest import domain_options
 from marginalia.plans.catalogue import Catalogue, table
+from marginalia.plans.feature_queries import real_features
 from marginalia.session import bounded_rows
 
 CATALOGUE = Catalogue()
@@ -216,7 +218,7 @@ def e13(spark, d):
     """A classifier of languages, trained on nine tenths and scored on the rest."""
     rows = table(spark, d, "documents").filter("lang is not null and lang <> 'und' and text is not null").select("doc_id", "lang", "text")
     split = sampling.stratified_split(rows, "doc_id", "lang", 0.1)
-    model = classify.classifier("text", "lang", 1 << 12, 10).fit(split.filter("split = 'train'"))
+    model = classify.classifier("text", "lang").fit(split.filter("split = 'train'"))
     return classify.scores(classify.predict(model, split.filter("split = 'validation'")), "lang")
 
 
@@ -303,10 +305,9 @@ def m28(spark, d):
 
 @query("M15_tabular_synthesis")
 def m15(spark, d):
-    """Synthetic orders under a budget: encode, measure, adapt, sample, decode."""
-    df = table(spark, d, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
-    domains = {"o_orderstatus": Categorical(("F", "O", "P")), "o_orderpriority": Categorical(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")), "o_totalprice": Numerical(0, 500_000)}
-    return aim.synthesize(df, domains, rho=0.18, noise=aim.SeededNoise(7), options=aim.Options(iterations=60, numeric_bins=8, max_rounds=8))
+    """Synthetic records of the eight features under a budget: encode, measure, adapt, sample, decode. A model of 1 MB, the quick size."""
+    domains = {c: Categorical(tuple(v)) for c, v in domain_options(table(spark, d, "feature_domain")).items()}
+    return aim.synthesize(real_features(spark, d).drop("record_id"), domains, rho=0.18, noise=aim.SeededNoise(7), options=aim.Options(iterations=100, model_megabytes=1.0))
 
 
 @query("K12_scheme_names", "SELECT o_orderpriority, 'schemes_aim-dpsgd_n' || count(*) || '_eps4_delta3.38e-06.csv' AS name FROM orders GROUP BY 1")

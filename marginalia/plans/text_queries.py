@@ -84,11 +84,14 @@ def f06(spark, d):
     return written.select(F.explode(text.schema_fields(F.col("s"))).alias("f")).select("f.*")
 
 
-@query("F09_numbered_schema")
+@query("F09_numbered_schema", "SELECT feature_name AS name, string_agg(option_text, '~' ORDER BY option_idx) AS options, 'what a text says of ' || replace(feature_name, '_', ' ') AS description FROM feature_domain GROUP BY 1")
 def f09(spark, d):
-    """A numbered feature list as models write it, parsed by a table function."""
-    sample = '1. **Study type**:\n   Possible values: "Field", "Lab (e.g., bench)"\n   Description: kind of study\n2. Scale: size\n   Values: small|large'
-    return NumberedSchema(F.lit(sample))
+    """Numbered feature lists as models write them, made from the domain table and parsed by a table function."""
+    by = table(spark, d, "feature_domain").groupBy("feature_name").agg(F.array_sort(F.collect_list(F.struct("option_idx", "option_text"))).alias("o"))
+    spaced = F.translate("feature_name", "_", " ")
+    values = F.concat(F.lit('"'), F.array_join(F.transform("o", lambda x: x["option_text"]), '", "'), F.lit('"'))
+    written = by.select(F.concat(F.lit("1. **"), F.initcap(spaced), F.lit("**:\n   Possible values: "), values, F.lit("\n   Description: what a text says of "), spaced).alias("t"))
+    return written.lateralJoin(NumberedSchema(F.col("t").outer())).select("name", F.array_join("options", "~").alias("options"), "description")
 
 
 @query("F17_templates", "SELECT doc_id, 'Field {' || coalesce(category, '') || '}: ' || coalesce(title, '') AS prompt FROM documents")
@@ -268,7 +271,7 @@ def o08(spark, d):
     return table(spark, d, "feature_domain").groupBy("feature_name").agg(F.max_by("option_text", "option_idx").alias("last"))
 
 
-@query("X02_annotation_service")
+@query("X02_annotation_service", """SELECT doc_id, '{"organism": "' || CASE WHEN contains(lower(coalesce(text, '')), 'mice') THEN 'House mouse' WHEN contains(lower(coalesce(text, '')), 'yeast') THEN 'Fission yeast' ELSE 'Other' END || '", "goal": "' || CASE WHEN contains(lower(coalesce(text, '')), 'we propose') THEN 'Explain a mechanism' ELSE 'Other' END || '"}' AS inferred_schema FROM documents""")
 def x02(spark, d):
     """Features of documents from a pluggable client, as an inferred column."""
     service = services.text_service(lambda: services.rule_features({"organism": [("mice", "House mouse"), ("yeast", "Fission yeast")], "goal": [("we propose", "Explain a mechanism")]}))
