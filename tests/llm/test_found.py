@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,31 @@ def test_scattered_edits_lose_few_pairs(spark):
     assert {(r.t, r.e) for r in overlap.cross_split_pairs(df).collect()} == {(2 * i, 2 * i + 1) for i in range(120)}
 
 
+@pytest.mark.parametrize("every, allowed", [(5, 0.08), (6, 0.02)])
+def test_regular_edits_lose_few_pairs(every, allowed):
+    rnd = random.Random(11)
+    hashes = overlap._Hashes()
+    lost = 0
+    for i in range(200):
+        n, r = (80, 150, 300, 600)[i % 4], rnd.randint(0, every - 1)
+        ws = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+        both = [ws, [f"e{i}.{k}" if k % every == r else w for k, w in enumerate(ws)]]
+        a, b = (set(overlap.chunks(np.array([hashes[w] for w in x], np.uint64), np.array([0, n]))[0].tolist()) for x in both)
+        lost += sum((d >> 4) & 63 for d in a & b) < min(overlap.LEAST * n, overlap.ENOUGH)
+    assert lost <= allowed * 200
+
+
+def test_bags_bound_the_words_in_common():
+    rnd = random.Random(12)
+    hashes = overlap._Hashes()
+    for _ in range(100):
+        x, y = ([f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(1, 90))] for _ in range(2))
+        offsets = np.array([0, len(x), len(x) + len(y)])
+        a, b = (np.frombuffer(bag, np.uint8).astype(int) for bag in overlap.bags(np.array([hashes[w] for w in x + y], np.uint64), offsets))
+        assert np.minimum(a, b).sum() >= sum((Counter(x) & Counter(y)).values()) and a.sum() == len(x)
+    assert overlap.bags(np.full(300, 7, np.uint64), np.array([0, 300])) == [None]
+
+
 def test_hot_chunks_lose_no_pair(spark, monkeypatch):
     rnd = random.Random(2)
     notice = " ".join(f"notice{i}" for i in range(30))
