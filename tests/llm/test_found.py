@@ -170,6 +170,22 @@ def test_hot_chunks_lose_no_pair(spark, monkeypatch):
     assert {tuple(r) for r in overlap.cross_split_pairs(df.coalesce(1), busy=3).collect()} == plain
 
 
+def test_stock_phrases_with_other_names_are_found(spark, monkeypatch):
+    rnd = random.Random(4)
+    phrases = [[f"p{i}x{k}" for k in range(8)] for i in range(24)]
+
+    def told(order, name):
+        return " ".join(w for j, i in enumerate(order) for w in [*phrases[i], f"{name}x{j}", f"{name}y{j}"])
+
+    orders = [rnd.sample(range(24), 12) for _ in range(60)]
+    data = [(i, told(o, f"n{i}"), None, "train" if i % 2 else "test") for i, o in enumerate(orders)]
+    data += [(100 + i, told(orders[i], f"m{i}"), None, "test" if i % 2 else "train") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string, title string, split string")
+    wanted = {(i, 100 + i) if i % 2 else (100 + i, i) for i in range(40)}
+    monkeypatch.setattr(overlap, "MEETINGS", 50)
+    assert {tuple(r) for r in overlap.cross_split_pairs(df).collect()} == wanted
+
+
 def test_copies_collapse(spark):
     df = spark.createDataFrame([(i, "the same text again and again", "t", "train" if i % 3 else "valid") for i in range(30)], "doc_id long, text string, title string, split string")
     assert overlap.cross_split_pairs(df).count() == 20 * 10
