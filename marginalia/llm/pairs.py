@@ -295,16 +295,16 @@ def cluster_openings(counted: DataFrame) -> DataFrame:
     """(opening, template): each opening of (opening, rows) with its verified representative, at worst itself.
 
     The most frequent opening of a bucket represents it, so no pairs inside a bucket are formed; only numbers of
-    openings go through the buckets.
+    openings go through the buckets. Sides that grow with the data are merged: their compressed size would let them be broadcast.
     """
     listed = counted.select("opening", "rows", F.xxhash64("opening").alias("_id"))
     buckets = listed.select("_id", "rows", F.explode(_bands("opening")).alias("band"))
     heads = buckets.groupBy("band").agg(F.max_by("_id", F.struct("rows", "_id")).alias("_head"))
-    near = buckets.select("_id", "band").join(heads, "band").select("_id", "_head").distinct()
+    near = buckets.select("_id", "band").join(heads.hint("merge"), "band").select("_id", "_head").distinct()
     ws = F.split("opening", " ")
     shingled = listed.withColumn("_sh", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ws) - SHINGLE)), lambda i: F.array_join(F.slice(ws, i + 1, SHINGLE), " ")))
     head = shingled.select(F.col("_id").alias("_head"), F.col("opening").alias("template"), F.col("_sh").alias("_hs"), F.col("rows").alias("_hr"))
-    both = near.join(shingled.select("_id", "opening", "_sh"), "_id").join(head, "_head")
+    both = near.join(shingled.select("_id", "opening", "_sh").hint("merge"), "_id").join(head.hint("merge"), "_head")
     alike = F.size(F.array_intersect("_sh", "_hs")) / F.size(F.array_union("_sh", "_hs"))
     return both.filter(alike >= SIMILAR).groupBy("opening").agg(F.max_by("template", F.struct("_hr", "template")).alias("template"))
 
@@ -315,10 +315,10 @@ def refusing_openings(checked: DataFrame) -> DataFrame:
     flag = F.col("plain").cast("long")
     counted = begun.groupBy("opening").agg(F.count(F.lit(1)).alias("rows"), F.sum(flag).alias("plain"), F.hll_sketch_agg("prompt", 10).alias("prompts"), F.hll_sketch_agg("kind", 10).alias("kinds"))
     counted = materialize(counted.filter(F.col("plain") > 0), "openings")
-    linked = counted.join(cluster_openings(counted), "opening")
+    linked = counted.join(cluster_openings(counted).hint("merge"), "opening")
     judged = linked.groupBy("template").agg(F.sum("rows").alias("_rows"), F.sum("plain").alias("_plain"), F.hll_union_agg("prompts").alias("_p"), F.hll_union_agg("kinds").alias("_k"))
     recurring = (F.hll_sketch_estimate("_p") >= PROMPTS) & (F.hll_sketch_estimate("_k") >= KINDS) & (F.col("_plain") >= PLAIN * F.col("_rows"))
-    return linked.join(judged.filter(recurring).select("template"), "template").select("opening")
+    return linked.join(judged.filter(recurring).select("template").hint("merge"), "template").select("opening")
 
 
 def defects(df: DataFrame, key: str = "pair_id", instruction: str = "instruction", answer: str = "answer", dataset: str = "dataset_name") -> DataFrame:
@@ -334,7 +334,7 @@ def defects(df: DataFrame, key: str = "pair_id", instruction: str = "instruction
     checked = materialize(scored.select("row_id", "cut", F.xxhash64("_i").alias("prompt"), kind.alias("kind"), "_c.*"), "pair-checks")
     refusing = broadcast_if_small(materialize(refusing_openings(checked), "refusing-openings"), REFUSING)
     refused = checked.filter("plain").select("row_id", F.explode("openings").alias("opening")).join(refusing, "opening").select("row_id", F.lit(True).alias("_refuses")).distinct()
-    joined = checked.join(refused, "row_id", "left")
+    joined = checked.join(refused.hint("merge"), "row_id", "left")
     refusal = F.coalesce("_refuses", F.lit(False)) & F.col("plain") | F.col("declines")
     defect = F.when(F.col("empty"), "empty").when(F.col("copy"), "copy").when(refusal, "refusal").when(F.col("language"), "language").when(F.col("cut"), "truncated")
     found = joined.select(F.col("row_id").alias(key), defect.alias("defect")).filter(F.col("defect").isNotNull())

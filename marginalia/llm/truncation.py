@@ -176,15 +176,15 @@ def train(rows: DataFrame, limits: dict) -> np.ndarray:
     share = min(1.0, SAMPLE_ROWS / max(filled.count(), 1))
     known = rows.sparkSession.sparkContext.broadcast(limits)  # at most MAX_SOURCES limits
 
-    @F.pandas_udf("array<struct<x: array<int>, y: double>>")
+    @F.pandas_udf("array<struct<x: binary, y: double>>")
     def made(table: pd.Series, source: pd.Series, text: pd.Series, seed: pd.Series) -> pd.Series:
         each = zip(table, source, text, seed)
-        return pd.Series([[{"x": x, "y": y} for x, y in examples(c, known.value.get((t, s)) or None, int(n))] for t, s, c, n in each], dtype=object)
+        return pd.Series([[{"x": x.tobytes(), "y": y} for x, y in examples(c, known.value.get((t, s)) or None, int(n))] for t, s, c, n in each], dtype=object)
 
     picked = filled.withColumn("_mark", mark).filter(F.col("_mark") < int(share * 1_000_000_000)).groupBy("_mark").agg(F.min(F.struct("src_table", "source", "text")).alias("_s"))
     coded = picked.select("_mark", made("_s.src_table", "_s.source", "_s.text", "_mark").alias("_e"))
     sample = sorted(bounded_rows(coded, 2 * SAMPLE_ROWS, "training sample"))
-    return fit([np.array(e.x, np.int32) for r in sample for e in r._e], [e.y for r in sample for e in r._e])
+    return fit([np.frombuffer(e.x, np.int32) for r in sample for e in r._e], [e.y for r in sample for e in r._e])
 
 
 def score(rows: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -278,6 +278,12 @@ def test_clusters_are_verified(spark):
     assert {t for _, t in rows(pairs.cluster_openings(joined))} == {"we do not give such texts to readers here"}
 
 
+def test_clusters_broadcast_nothing_that_grows(spark):
+    counted = spark.createDataFrame([("we do not give such texts to readers here", 9)], "opening string, rows long")
+    plan = pairs.cluster_openings(counted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 3
+
+
 def test_language_asked_for_anywhere():
     passage = "These cells regulate mice in genes of the spores. " * 12
     assert pairs.wanted_language(f"Read this first.\nThen answer in German.\n{passage}") == "de"
