@@ -186,6 +186,15 @@ def test_stock_phrases_with_other_names_are_found(spark, monkeypatch):
     assert {tuple(r) for r in overlap.cross_split_pairs(df).collect()} == wanted
 
 
+def test_stretches_travel_packed(spark):
+    hot = [(i << 10) + (words << 4) + 4 for i, words in enumerate((3, 4, 60))]
+    records = spark.createDataFrame([(1, True, 16 * 200 + 8, hot), (2, False, 16 * 190 + 7, hot)], "key long, train boolean, x long, hs array<long>")
+    (found,) = overlap.hot_stretches(records)
+    assert found.columns == ["d", "key", "train", "x"]  # what a pair needs of its records is one number, the words are in the digest
+    got = [(r.key, r.train, r.x, r.d >> 4 & 63) for r in found.collect()]
+    assert sorted(got) == sorted((*tuple(r)[:3], w) for r in records.collect() for w in (7, 63, 63) * 2)
+
+
 def test_copies_collapse(spark):
     df = spark.createDataFrame([(i, "the same text again and again", "t", "train" if i % 3 else "valid") for i in range(30)], "doc_id long, text string, title string, split string")
     assert overlap.cross_split_pairs(df).count() == 20 * 10
