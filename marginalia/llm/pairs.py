@@ -1,8 +1,8 @@
 """Defective prompt and response pairs, with the kind of defect.
 
 Words that few answers of a language have become blanks. The openings of an answer (of its sentences, and of what follows
-a courtesy before a comma) are clustered by MinHash over five-word shingles, each member verified against its
-representative. Openings that recur across unrelated prompts and whose answers hold nothing but such recurring words
+a courtesy before a comma) are clustered by MinHash over their words, so that one word in five may differ, each member
+verified against its representative. Openings that recur across unrelated prompts and whose answers hold nothing but such recurring words
 reveal refusals: an answer of substance has names and numbers of its own. Copy, language and termination checks label the
 other defects; fixed phrases of declining only add refusals whose template is too rare to recur.
 """
@@ -18,15 +18,16 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm import truncation
 from marginalia.session import bounded_rows, broadcast_if_small, materialize
 
-#: Parameters: words of an opening, words of a shingle, least similarity, hashes and bands of MinHash.
-OPENING, SHINGLE, SIMILAR, HASHES, BANDS = 8, 5, 0.8, 32, 16
+#: Parameters: words of an opening, least share of the longer opening's words that return in its representative, hashes and
+#: bands of MinHash: eight words of which one differs have seven of nine in common, so they miss each other once in 900 times.
+OPENING, SIMILAR, HASHES, BANDS = 8, 0.8, 100, 20
 #: A word is kept if at least this share of the answers of its language, and this many, have it; words kept at most (their
 #: number is bounded by the words of a mean answer over the share, per language).
 KEPT, KEPT_ROWS, VOCABULARY = 0.001, 3, 500_000
@@ -272,23 +273,47 @@ def _is_json(text: str) -> bool:
     return True
 
 
-def _shingles(ws: list[str]) -> list[str]:
-    return [" ".join(ws[k : k + SHINGLE]) for k in range(max(1, len(ws) - SHINGLE + 1))]
+def _hashed(openings: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the words of each opening; each turn of a word in an opening is a word of its own."""
+    import xxhash
+
+    known: dict[tuple[str, int], int] = {}
+    flat, offsets = [], [0]
+    for text in openings:
+        ws = text.split(" ")
+        for k, w in enumerate(ws):
+            turn = w, ws[:k].count(w)
+            if turn not in known:
+                known[turn] = xxhash.xxh64_intdigest(w, seed=turn[1])
+            flat.append(known[turn])
+        offsets.append(len(flat))
+    return np.array(flat, np.uint64), np.array(offsets)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(opening: pd.Series) -> pd.Series:
-    import xxhash
+def _numbers(opening: pd.Series) -> pd.Series:
+    h, offsets = _hashed(opening)
+    return pd.Series(np.split(h.view(np.int64), offsets[1:-1])[: len(opening)], dtype=object)
+
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(opening: pd.Series) -> pd.Series:
     seeds = np.random.default_rng(7).integers(1, 2**31, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    width = HASHES // BANDS
+    out: list[np.ndarray] = []
+    for start in range(0, len(opening), 1000):
+        h, offsets = _hashed(opening.iloc[start : start + 1000])
+        low = np.minimum.reduceat((h[:, None] * seeds[None, :]) ^ (h[:, None] >> np.uint64(29)), offsets[:-1]).reshape(-1, BANDS, HASHES // BANDS)
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), low.shape[:2])
+        for k in range(low.shape[2]):
+            key = (key ^ low[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key = key ^ (key >> np.uint64(32))
+        out.extend(key.view(np.int64))
+    return pd.Series(out, dtype=object)
 
-    def one(text: str) -> list[int]:
-        h = np.array([xxhash.xxh64_intdigest(s) for s in _shingles(text.split(" "))], np.uint64)
-        low = ((h[:, None] * seeds[None, :]) ^ (h[:, None] >> np.uint64(29))).min(0)
-        return [int(xxhash.xxh64_intdigest(low[b * width : (b + 1) * width].tobytes(), seed=b) >> 1) for b in range(BANDS)]
 
-    return opening.map(one)
+def _alike() -> Column:
+    """Whether an opening of words ``_w`` is like its representative of words ``_hw``."""
+    return F.size(F.array_intersect("_w", "_hw")) >= SIMILAR * F.greatest(F.size("_w"), F.size("_hw"))
 
 
 def cluster_openings(counted: DataFrame) -> DataFrame:
@@ -301,24 +326,42 @@ def cluster_openings(counted: DataFrame) -> DataFrame:
     buckets = listed.select("_id", "rows", F.explode(_bands("opening")).alias("band"))
     heads = buckets.groupBy("band").agg(F.max_by("_id", F.struct("rows", "_id")).alias("_head"))
     near = buckets.select("_id", "band").join(heads.hint("merge"), "band").select("_id", "_head").distinct()
-    ws = F.split("opening", " ")
-    shingled = listed.withColumn("_sh", F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ws) - SHINGLE)), lambda i: F.array_join(F.slice(ws, i + 1, SHINGLE), " ")))
-    head = shingled.select(F.col("_id").alias("_head"), F.col("opening").alias("template"), F.col("_sh").alias("_hs"), F.col("rows").alias("_hr"))
-    both = near.join(shingled.select("_id", "opening", "_sh").hint("merge"), "_id").join(head.hint("merge"), "_head")
-    alike = F.size(F.array_intersect("_sh", "_hs")) / F.size(F.array_union("_sh", "_hs"))
-    return both.filter(alike >= SIMILAR).groupBy("opening").agg(F.max_by("template", F.struct("_hr", "template")).alias("template"))
+    worded = listed.withColumn("_w", _numbers("opening"))
+    head = worded.select(F.col("_id").alias("_head"), F.col("opening").alias("template"), F.col("_w").alias("_hw"), F.col("rows").alias("_hr"))
+    both = near.join(worded.select("_id", "opening", "_w").hint("merge"), "_id").join(head.hint("merge"), "_head")
+    return both.filter(_alike()).groupBy("opening").agg(F.max_by("template", F.struct("_hr", "template")).alias("template"))
+
+
+def rows_alike(counted: DataFrame, templates: DataFrame) -> DataFrame:
+    """(template, others): rows of the openings of (opening, rows) that are like a template, whichever cluster they are in."""
+    heads = materialize(templates.select("template", _numbers("template").alias("_hw"), F.explode(_bands("template")).alias("band")), "template-bands")
+    listed = counted.select("opening", "rows", _numbers("opening").alias("_w"), F.explode(_bands("opening")).alias("band"))
+    met = listed.join(broadcast_if_small(heads, REFUSING * BANDS), "band").filter(_alike()).select("template", "opening", "rows").distinct()
+    return met.groupBy("template").agg(F.sum("rows").alias("others"))
 
 
 def refusing_openings(checked: DataFrame) -> DataFrame:
-    """The openings of templates that recur across unrelated prompts and whose answers are plain."""
+    """The openings of templates that recur across unrelated prompts and whose answers are plain.
+
+    A template must recur in its own words, as texts of few words are often alike by chance; its variants then are
+    judged and found with it. Openings without a plain answer are in no cluster, but they count against the templates
+    they are like.
+    """
     begun = checked.filter(~F.col("empty")).select("plain", "prompt", "kind", F.explode("openings").alias("opening"))
     flag = F.col("plain").cast("long")
     counted = begun.groupBy("opening").agg(F.count(F.lit(1)).alias("rows"), F.sum(flag).alias("plain"), F.hll_sketch_agg("prompt", 10).alias("prompts"), F.hll_sketch_agg("kind", 10).alias("kinds"))
-    counted = materialize(counted.filter(F.col("plain") > 0), "openings")
-    linked = counted.join(cluster_openings(counted).hint("merge"), "opening")
-    judged = linked.groupBy("template").agg(F.sum("rows").alias("_rows"), F.sum("plain").alias("_plain"), F.hll_union_agg("prompts").alias("_p"), F.hll_union_agg("kinds").alias("_k"))
-    recurring = (F.hll_sketch_estimate("_p") >= PROMPTS) & (F.hll_sketch_estimate("_k") >= KINDS) & (F.col("_plain") >= PLAIN * F.col("_rows"))
-    return linked.join(judged.filter(recurring).select("template").hint("merge"), "template").select("opening")
+    # sketches only where they are needed: most openings have no plain answer
+    own = F.col("plain") > 0
+    counted = materialize(counted.select("opening", "rows", "plain", *[F.when(own, F.col(c)).alias(c) for c in ("prompts", "kinds")]), "openings")
+    clusters = materialize(cluster_openings(counted.filter(own)), "clusters")
+    linked = counted.filter(own).join(clusters.hint("merge"), "opening")
+    # its own opening among them: one that went to a larger cluster is no template
+    recurs = (F.col("opening") == F.col("template")) & (F.hll_sketch_estimate("prompts") >= PROMPTS) & (F.hll_sketch_estimate("kinds") >= KINDS)
+    judged = linked.groupBy("template").agg(F.sum("rows").alias("_rows"), F.sum("plain").alias("_plain"), F.bool_or(recurs).alias("_recurs"))
+    judged = judged.filter(F.col("_recurs") & (F.col("_plain") >= PLAIN * F.col("_rows"))).drop("_recurs")
+    recurring = materialize(judged, "templates")
+    weighed = recurring.join(rows_alike(counted.filter(~own), recurring), "template", "left").filter(F.col("_plain") >= PLAIN * (F.col("_rows") + F.coalesce("others", F.lit(0))))
+    return clusters.join(weighed.select("template").hint("merge"), "template").select("opening")
 
 
 def defects(df: DataFrame, key: str = "pair_id", instruction: str = "instruction", answer: str = "answer", dataset: str = "dataset_name") -> DataFrame:

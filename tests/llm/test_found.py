@@ -287,6 +287,22 @@ def test_clusters_are_verified(spark):
     assert {t for _, t in rows(pairs.cluster_openings(joined))} == {"we do not give such texts to readers here"}
 
 
+def test_clusters_join_variants(spark):
+    first = "we do not give such texts to readers"
+    variants = [first, "we do never give such texts to readers", "we do not currently give such texts to", "we do not give texts to readers here"]
+    others = ["we have not given any texts to them", "all of the mice were kept in cages"]
+    counted = spark.createDataFrame([(o, 9 - k) for k, o in enumerate(variants + others)], "opening string, rows long")
+    assert dict(rows(pairs.cluster_openings(counted))) == {**{o: first for o in variants}, **{o: o for o in others}}
+
+
+def test_variants_without_plain_answers_count(spark):
+    seen, said = "they saw {} less of it in mice", "we do not give {} texts to readers"
+    data = [(seen.format("much"), True)] * 6 + [(seen.format(w), False) for w in ("some", "far", "a", "no")]
+    data += [(said.format("such"), True)] * 6 + [(said.format("these"), True)]
+    df = spark.createDataFrame([([o], plain, False, i, i) for i, (o, plain) in enumerate(data)], "openings array<string>, plain boolean, empty boolean, prompt long, kind long")
+    assert rows(pairs.refusing_openings(df)) == [(said.format("such"),), (said.format("these"),)]
+
+
 def test_clusters_broadcast_nothing_that_grows(spark):
     counted = spark.createDataFrame([("we do not give such texts to readers here", 9)], "opening string, rows long")
     plan = pairs.cluster_openings(counted)._jdf.queryExecution().optimizedPlan().toString()
