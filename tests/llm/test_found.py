@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia import session
 from marginalia.llm import canonical, overlap, packing, pairs, pieces, terms, tokens, truncation
 
 
@@ -195,6 +197,24 @@ def test_stretches_travel_packed(spark):
     assert sorted(got) == sorted((*tuple(r)[:3], w) for r in records.collect() for w in (7, 63, 63) * 2)
 
 
+def test_places_are_turned_and_turned_back(spark):
+    places = [0, 1, 5, 255, 32767, 32768, 65535, 65536, (1 << 33) - 1]
+    back = spark.createDataFrame([(x,) for x in places], "x long").select("x", overlap._turned(F.col("x")).alias("y"), overlap._turned_back(overlap._turned(F.col("x"))).alias("z")).collect()
+    assert [r.z for r in back] == places and all(r.y % (1 << 48) == 0 for r in back if r.x < 65536)
+
+
+def test_tables_of_overlaps_go_when_done(spark):
+    """The digests, the largest table, give way to those that both splits have, and no shuffle outlives the table it is for."""
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: sum(p.stat().st_size for d in disks for p in Path(str(d)).rglob("shuffle_*.data"))
+    df = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(60)), None, "train" if i % 2 else "test") for i in range(400)], "doc_id long, text string, title string, split string")
+    began, at = shuffled(), len(session._WRITTEN)
+    found = overlap.cross_split_pairs(df)
+    assert shuffled() - began < 5_000
+    assert not any("signatures" in path for path in session._WRITTEN[at:])
+    assert found.count() == 200
+
+
 def test_copies_collapse(spark):
     df = spark.createDataFrame([(i, "the same text again and again", "t", "train" if i % 3 else "valid") for i in range(30)], "doc_id long, text string, title string, split string")
     assert overlap.cross_split_pairs(df).count() == 20 * 10
